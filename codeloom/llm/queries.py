@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-_MODULES = ["near_dedup", "line_dedup", "decontaminate"]
+_MODULES = ["near_dedup", "line_dedup", "decontaminate", "pii"]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
