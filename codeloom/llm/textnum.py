@@ -82,9 +82,9 @@ def _cuts(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int]]:
         at = to
 
 
-def hash_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A number for each word, and where each row's words begin and end."""
-    numbers, places = [], []
+def hash_words(data: np.ndarray, offsets: np.ndarray, fold: bool = True, ends_too: bool = False) -> tuple[np.ndarray, ...]:
+    """A number for each word, and where each row's words begin and end among them; with ``ends_too`` also the words' first and end bytes."""
+    numbers, places, stops = [], [], []
     rows = offsets[:-1][offsets[:-1] < offsets[1:]]
     for a, b in _cuts(data, offsets):
         x = data[a:b]
@@ -99,17 +99,19 @@ def hash_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
         last[:-1] &= space[1:] | edge[1:-1]
         starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
         up, down = _power_tables(b - a + 1)
-        v = _BYTE[_FOLD[x]]
+        v = _BYTE[_FOLD[x] if fold else x]
         v *= up[: b - a]
         total = np.zeros(b - a + 1, np.uint64)
         np.cumsum(v, out=total[1:])
         h = (total[ends] - total[starts]) * down[starts]
         numbers.append(mix(h + (ends - starts).astype(np.uint64) * U(0xD6E8FEB86659FD93)))
         places.append(starts + a)
-    if not numbers:
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
-    where = np.concatenate(places)
-    return np.concatenate(numbers), np.searchsorted(where, offsets).astype(np.int64)
+        stops.append(ends + a)
+    none = [np.zeros(0, np.int64)]
+    where = np.concatenate(places or none)
+    bounds = np.searchsorted(where, offsets).astype(np.int64)
+    out = (np.concatenate(numbers) if numbers else np.zeros(0, np.uint64), bounds)
+    return (*out, where, np.concatenate(stops or none)) if ends_too else out
 
 
 def shingles(words: np.ndarray, bounds: np.ndarray, k: int = 5) -> Iterator[np.ndarray]:
