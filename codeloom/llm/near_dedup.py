@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.llm.near_links import near_links
@@ -27,6 +27,8 @@ from codeloom.llm.union_find import components
 PLACES = 1 << 20
 #: 48 bands of 5 rows miss a pair of similarity 0.75 with probability (1 - 0.75**5)**48 = 2e-6.
 BANDS, ROWS = 48, 5
+#: The lowest two bits of so many coordinates sketch a set.
+SKETCH = 1024
 
 
 class Circulant:
@@ -99,6 +101,36 @@ def _compare(words: int, per_cent: int):
     return run
 
 
+def _sketch(words: int):
+    schema = pa.schema([("node", pa.int64()), ("sketch", pa.list_(pa.int64()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        maker = Circulant(SKETCH, 1, seed=6)
+        for batch in batches:
+            planes = []
+            for found in shingle_sets(batch.column(1), words):
+                low = maker.signature(found) & 3
+                planes += [np.packbits(low & 1), np.packbits(low >> 1)]
+            flat = np.concatenate(planes).view(np.int64) if planes else np.zeros(0, np.int64)
+            bounds = np.arange(len(batch) + 1, dtype=np.int32) * (SKETCH // 32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(bounds), pa.array(flat))], schema=schema)
+
+    return run
+
+
+def _alike(per_cent: int):
+    """Whether two sketches disagree no more often than sets of the least similarity do, and 4.5 deviations."""
+    p = 0.75 * (1 - per_cent / 100)
+    most = int(SKETCH * p + 4.5 * (SKETCH * p * (1 - p)) ** 0.5)
+    n = SKETCH // 64
+
+    def test(a: Column, b: Column) -> Column:
+        at = lambda i: F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))
+        return sum((F.bit_count(at(i).bitwiseOR(at(n + i))) for i in range(n)), F.lit(0)) <= most
+
+    return test
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, per_cent: int = 75, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept.
 
@@ -126,7 +158,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, per_cent: int = 75, bands:
     def compare(pairs: DataFrame) -> DataFrame:
         return pairs.mapInArrow(_compare(words, per_cent), "a long, b long, link boolean, dist double")
 
-    links = near_links(entries, texts_of, compare, 1 - per_cent / 100, scratch).select("a", "b")
+    def sketch(texts: DataFrame) -> DataFrame:
+        return texts.select("node", "text").mapInArrow(_sketch(words), "node long, sketch array<long>")
+
+    links = near_links(entries, texts_of, compare, 1 - per_cent / 100, scratch, sketch, _alike(per_cent)).select("a", "b")
     edges = signed.where("doc_id != rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).unionByName(links)
     found = components(edges, scratch)
     scratch.drop(signed)

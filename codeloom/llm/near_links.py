@@ -1,29 +1,39 @@
-"""From band keys to verified links, without all pairs of a bucket.
+"""From band keys to verified links, without emitting all pairs of a bucket.
 
 Jaccard distance is a metric, and only connected groups are asked for. So each bucket first compares its members
 with one of them, its pivot: a bucket of n near copies costs n comparisons. What is then left are members that
 the pivot doesn't link. Such an outsider x needs comparing with another member y only if the two aren't joined
-already and ``|d(x, pivot) - d(y, pivot)|`` is within the limit, as the triangle inequality asks of every link.
-No bucket is cut and no pair that could be a link is dropped.
+already, ``|d(x, pivot) - d(y, pivot)|`` is within the limit, as the triangle inequality asks of every link, and
+the two's sketches agree nearly as often as a link's must; the join itself tests all three, so it makes few pairs
+besides the links. No bucket is cut.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.llm.scratch import Scratch
 from codeloom.llm.union_find import components
 
 
-def near_links(entries: DataFrame, texts_of: Callable[[DataFrame], DataFrame], compare: Callable[[DataFrame], DataFrame], limit: float, scratch: Scratch) -> DataFrame:
+def near_links(
+    entries: DataFrame,
+    texts_of: Callable[[DataFrame], DataFrame],
+    compare: Callable[[DataFrame], DataFrame],
+    limit: float,
+    scratch: Scratch,
+    sketch: Callable[[DataFrame], DataFrame],
+    alike: Callable[[Column, Column], Column],
+) -> DataFrame:
     """The links among nodes that share a key.
 
     ``entries``: (key, node). ``texts_of`` takes (node) and returns (node, text). ``compare`` takes (a, b, ta, tb)
     and returns (a, b, link boolean, dist double, ...): the exact verdict on each pair. ``limit`` is the largest
-    distance of a link. Returns the rows of ``compare`` that are links.
+    distance of a link. ``sketch`` takes (node, text) and returns (node, sketch); ``alike`` takes two sketches and
+    says whether their texts may be a link. Returns the rows of ``compare`` that are links.
     """
     buckets = scratch.keep(entries.groupBy("key").agg(F.min("node").alias("p"), F.max("node").alias("q")).where("p < q").select("key", "p"))
     members = scratch.keep(entries.join(buckets, "key").where("node != p").select("key", "p", "node").distinct())
@@ -41,11 +51,17 @@ def near_links(entries: DataFrame, texts_of: Callable[[DataFrame], DataFrame], c
     known = first.groupBy(F.col("a").alias("p"), F.col("b").alias("node")).agg(F.min("dist").alias("d"))
     held = members.join(known, ["p", "node"]).join(joined, "node", "left").select("key", "node", "d", F.coalesce("component", "node").alias("c"))
     held = scratch.keep(held)
-    x = held.where(F.col("d") > limit).select("key", F.col("node").alias("x"), F.col("d").alias("dx"), F.col("c").alias("cx"))
-    y = held.select("key", F.col("node").alias("y"), F.col("d").alias("dy"), F.col("c").alias("cy"))
-    near = (F.abs(F.col("dx") - F.col("dy")) <= limit + 1e-9) & (F.col("cx") != F.col("cy")) & ((F.col("dy") <= limit) | (F.col("x") < F.col("y")))
-    rest = x.join(y, "key").where(near).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    rest = rest.join(first.select("a", "b"), ["a", "b"], "left_anti")
-    second = verify(rest)
-    scratch.drop(members, held, texts)
+    open_keys = held.groupBy("key").agg(F.max("d").alias("far"), F.min("c").alias("c0"), F.max("c").alias("c1")).where((F.col("far") > limit) & (F.col("c0") != F.col("c1"))).select("key")
+    held = held.join(open_keys, "key", "left_semi")
+    sketches = scratch.keep(sketch(texts.join(held.select("node").distinct(), "node", "left_semi")))
+    keys = held.groupBy("node").agg(F.collect_set("key").alias("keys"))  # a node has at most one key for each band
+    held = scratch.keep(held.join(sketches.join(keys, "node"), "node").select("key", "node", "d", "c", "sketch", "keys"))
+    x = held.where(F.col("d") > limit).select("key", F.col("node").alias("x"), F.col("d").alias("dx"), F.col("c").alias("cx"), F.col("sketch").alias("sx"), F.col("keys").alias("kx"))
+    y = held.select(F.col("key").alias("own"), F.col("node").alias("y"), F.col("d").alias("dy"), F.col("c").alias("cy"), F.col("sketch").alias("sy"), F.col("keys").alias("ky"))
+    new = (F.col("cx") != F.col("cy")) & ((F.col("dy") <= limit) | (F.col("x") < F.col("y")))
+    near = (F.abs(F.col("dx") - F.col("dy")) <= limit + 1e-9) & alike(F.col("sx"), F.col("sy"))
+    once = F.array_min(F.array_intersect("kx", "ky")) == F.col("key")  # in the first bucket that both are in
+    rest = x.join(y, (F.col("key") == F.col("own")) & new & near & once).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    second = verify(rest.join(first.select("a", "b"), ["a", "b"], "left_anti"))
+    scratch.drop(members, held, sketches, texts)
     return first.where("link").unionByName(second.where("link"))
