@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-_MODULES = ["near_dedup", "line_dedup", "decontaminate", "pii", "packing", "quality", "toxicity", "url_filter", "ann"]
+_MODULES = ["near_dedup", "line_dedup", "decontaminate", "pii", "packing", "quality", "toxicity", "url_filter", "warc", "ann"]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
