@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -13,6 +13,7 @@ from codeloom.sources import ndjson
 from codeloom.storage import TableRoot
 
 DEBOUNCE, LATE = "300 milliseconds", "10 seconds"
+_MICROS = {"microsecond": 1, "millisecond": 1000, "second": 1_000_000, "minute": 60_000_000, "hour": 3_600_000_000, "day": 86_400_000_000}
 
 
 def watch(spark: SparkSession, folder: str, schema: str = "path string, ts timestamp", files_per_batch: int = 100) -> DataFrame:
@@ -20,21 +21,33 @@ def watch(spark: SparkSession, folder: str, schema: str = "path string, ts times
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).json(folder)
 
 
+def _session(gap: str) -> tuple[Column, Column, Column]:
+    """A session window, its start and its end, for sessions that end when nothing happens for ``gap`` or longer.
+
+    Spark joins sessions that touch, so its gap is a microsecond less.
+    """
+    n, unit = gap.split()
+    window = F.session_window("ts", f"{int(n) * _MICROS[unit.rstrip('s')] - 1} microseconds")
+    return window, F.col("session_window.start"), F.col("session_window.end") + F.expr("interval 1 microsecond")
+
+
 def debounce(events: DataFrame, gap: str = DEBOUNCE, late: str = LATE, key: str = "path") -> DataFrame:
     """One row for each time a path has been quiet for ``gap``: (key, first, fired, events). Events exactly a gap apart are two.
 
     On a stream the state of a path ends with its watermark.
     """
     events = events.withWatermark("ts", late) if events.isStreaming else events
-    out = events.groupBy(F.col(key), F.session_window("ts", gap)).agg(F.count(F.lit(1)).alias("events"))
-    return out.select(key, F.col("session_window.start").alias("first"), F.col("session_window.end").alias("fired"), "events")
+    window, first, fired = _session(gap)
+    out = events.groupBy(F.col(key), window).agg(F.count(F.lit(1)).alias("events"))
+    return out.select(key, first.alias("first"), fired.alias("fired"), "events")
 
 
 def burst(events: DataFrame, gap: str, late: str = LATE) -> DataFrame:
     """Bursts over all paths: (first, fired, events, paths). All rows share one key, so it is for notices, not for data."""
     events = events.withWatermark("ts", late) if events.isStreaming else events
-    out = events.groupBy(F.session_window("ts", gap)).agg(F.count(F.lit(1)).alias("events"), F.approx_count_distinct("path").alias("paths"))
-    return out.select(F.col("session_window.start").alias("first"), F.col("session_window.end").alias("fired"), "events", "paths")
+    window, first, fired = _session(gap)
+    out = events.groupBy(window).agg(F.count(F.lit(1)).alias("events"), F.approx_count_distinct("path").alias("paths"))
+    return out.select(first.alias("first"), fired.alias("fired"), "events", "paths")
 
 
 def sessions_by_lag(events: DataFrame, gap_micros: int, key: str = "path") -> DataFrame:
