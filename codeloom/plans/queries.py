@@ -129,7 +129,7 @@ def _page_sql(at: str, own: str, kinds: str, n: int, more: str = "") -> str:
 def _found(spark, sf, at, direction, kinds):
     nodes = star.nodes(spark, sf)
     path = lookup.by_id(nodes, at).first()["filePath"]
-    return neighbors.neighbors(nodes, star.edges(spark, sf, kinds), at, path, direction, kinds)
+    return neighbors.neighbors(nodes, star.edges(spark, sf, kinds, (neighbors.ends(direction)[0], at)), at, path, direction, kinds)
 
 
 def _paged(spark, sf, at, direction, kinds, n, cursor=None):
@@ -177,7 +177,7 @@ def candidate_rank(spark, sf):
 
 @query("SELECT n.id, n.startLine FROM edges e JOIN nodes n ON n.id = e.toId WHERE e.fromId = 'N3' AND e.kind = 'DEFINES' ORDER BY n.startLine, n.id LIMIT 201")
 def file_outline(spark, sf):
-    rows = neighbors.outline(star.nodes(spark, sf), star.edges(spark, sf, ["DEFINES"]), "N3")
+    rows = neighbors.outline(star.nodes(spark, sf), star.edges(spark, sf, ["DEFINES"], ("fromId", "N3")), "N3")
     return paging.page_frame(rows, paging.OUTLINE, 201).select("id", "startLine")
 
 

@@ -29,9 +29,29 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-def edges(spark: SparkSession, sf_dir: str, kinds: list[str] | None = None) -> DataFrame:
-    """The edges of some kinds; tables of other kinds are not read."""
-    t = lambda n: _table(spark, sf_dir, n)
+#: Which key of a table an edge's end is made of, by the end, the edge's kind and the end's letter.
+_KEYS = {
+    ("fromId", "CALLS", "S"): "l_suppkey", ("toId", "CALLS", "P"): "l_partkey", ("fromId", "REFERENCES", "C"): "o_custkey", ("toId", "REFERENCES", "P"): "l_partkey",
+    ("fromId", "SUPERTYPE_OF", "S"): "s_suppkey", ("fromId", "DEFINES", "N"): "nationkey", ("fromId", "EXPORTS", "N"): "s_nationkey", ("fromId", "IMPORTS", "N"): "n_nationkey",
+}
+
+
+def edges(spark: SparkSession, sf_dir: str, kinds: list[str] | None = None, at: tuple[str, str] | None = None) -> DataFrame:
+    """The edges of some kinds; tables of other kinds are not read.
+
+    ``at`` (fromId or toId, an id) asks for one node's edges: the id is also put as a condition on the key that it is
+    made of, which the scan takes, unlike one on the id.
+    """
+
+    def t(name: str) -> DataFrame:
+        df = _table(spark, sf_dir, name)
+        for (end, _, letter), key in _KEYS.items() if at else ():
+            key = f"{name[0]}_{key}" if key == "nationkey" else key
+            if (end, letter) == (at[0], at[1][0]) and key in df.columns and _KEYS.get((end, now[0], letter)) in (key, key[2:]):
+                df = df.where(F.col(key) == int(at[1][1:]))
+        return df
+
+    now: list[str] = [""]
     source = "'tree-sitter' source", "cast(null as int) toDeclaration"
 
     def calls() -> DataFrame:
@@ -54,6 +74,7 @@ def edges(spark: SparkSession, sf_dir: str, kinds: list[str] | None = None) -> D
     }
     out = None
     for kind in kinds or model.EDGE_KINDS:
+        now[0] = kind
         part = model.conform(made[kind](), model.EDGES)
         out = part if out is None else out.unionByName(part)
     return out
