@@ -22,7 +22,7 @@ from codeloom.llm.labelled import remainder, sample
 from codeloom.llm.textnum import U, column_bytes, hash_words, mix
 
 #: The classifier is fitted on at most so many labelled documents of each label.
-SAMPLE = {0: 2000, 1: 3000}
+SAMPLE = {0: 1200, 1: 1800}
 DIM, ONES, NEAR, LEAST_COUNT, MOST_WORDS, HIDDEN = 96, 6, 2, 8, 20_000, 24
 THRESHOLD = 0.3
 _KIND = np.zeros(256, np.uint8)
@@ -60,26 +60,28 @@ class QualityModel:
     """Word vectors, network and temperature. ``fit`` makes one from texts and labels; ``score`` gives probabilities."""
 
     def fit(self, texts: list[str], labels: list[int], seed: int = 3) -> QualityModel:
-        numbers, shapes, length, bounds = words_of(pa.array(texts, pa.string()))
+        half = list(range(0, len(texts), 2))  # word vectors are learned from every other text, which bounds memory
+        numbers, shapes, _, bounds = words_of(pa.array([texts[i] for i in half], pa.string()))
         known, count = np.unique(numbers, return_counts=True)
         known = known[count >= LEAST_COUNT] if (count >= LEAST_COUNT).sum() <= MOST_WORDS else np.sort(known[np.argsort(-count, kind="stable")[:MOST_WORDS]])
         self.known = known
         rows = self._rows(numbers, shapes)
         index = index_vectors(np.concatenate([np.arange(SHAPES, dtype=np.uint64), known]))
         context = np.zeros_like(index)
-        doc = np.repeat(np.arange(len(texts)), np.diff(bounds))
+        doc = np.repeat(np.arange(len(half), dtype=np.int32), np.diff(bounds))
         for step in range(1, NEAR + 1):
             same = doc[step:] == doc[:-step]
             for at, by, turn in ((rows[:-step][same], rows[step:][same], step), (rows[step:][same], rows[:-step][same], -step)):
                 pairs, times = np.unique(at * len(index) + by, return_counts=True)
                 turned = np.roll(index, turn, axis=1)
-                for i in range(0, len(pairs), 1 << 16):
-                    part = pairs[i : i + (1 << 16)]
+                for i in range(0, len(pairs), 1 << 14):
+                    part = pairs[i : i + (1 << 14)]
                     w = part // len(index)
                     heads = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]]))
-                    context[w[heads]] += np.add.reduceat(turned[part % len(index)] * times[i : i + (1 << 16), None].astype(np.float32), heads, axis=0)
+                    context[w[heads]] += np.add.reduceat(turned[part % len(index)] * times[i : i + (1 << 14), None].astype(np.float32), heads, axis=0)
         self.vectors = (_unit(context) + _unit(index)).astype(np.float32)
-        x, y = self._pool(numbers, shapes, length, bounds), np.array(labels, np.float64)
+        x = np.concatenate([self._pool(*words_of(pa.array(texts[i : i + 200], pa.string()))) for i in range(0, len(texts), 200)])
+        y = np.array(labels, np.float64)
         self.mean, self.scale = x.mean(axis=0), x.std(axis=0) + 1e-6
         x = (x - self.mean) / self.scale
         rng = np.random.default_rng(seed)

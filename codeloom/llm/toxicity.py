@@ -21,7 +21,7 @@ from codeloom.llm.quality import Constant, scored
 from codeloom.llm.textnum import _cuts, column_bytes, hash_words
 
 #: The classifier is fitted on at most so many labelled documents of each label.
-SAMPLE = {0: 3000, 1: 1500}
+SAMPLE = {0: 1800, 1: 1200}
 BITS, DIM, SIZES = 18, 8, (3, 4, 5)
 WINDOW, STRIDE, TOP = 1, 1, 2
 #: N-grams start from their odds with so many average occurrences added.
@@ -125,11 +125,14 @@ class ToxicityModel:
         length = end[sample_at] - first[sample_at]
         begin = 1 + np.concatenate([[0], np.cumsum(length + 1)[:-1]])
         each, n = _ngrams(x, begin, begin + length)
-        owner = np.concatenate([np.repeat(np.arange(len(length)), k) for k in n])
-        flat = np.concatenate(each)
-        order = np.argsort(owner, kind="stable")
-        flat, number = flat[order], np.maximum(np.bincount(owner, minlength=len(length)), 1)
-        bound = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(length)))])
+        count = sum(n)  # a word's n-grams of all sizes, side by side
+        bound = np.concatenate([[0], np.cumsum(count)])
+        number = np.maximum(count, 1)
+        flat, filled = np.zeros(bound[-1], np.int32), bound[:-1].copy()
+        for grams, k in zip(each, n, strict=True):
+            flat[np.repeat(filled, k) + _within(k)] = grams
+            filled += k
+        del each, grams, x, spelled
         # start from how much more often the n-gram stands in toxic documents than in others
         seen = [np.bincount(which[y[doc] == c], minlength=len(length)).astype(float) for c in (0, 1)]
         times = [np.bincount(flat, weights=np.repeat(s, np.diff(bound)), minlength=1 << BITS) for s in seen]
@@ -172,7 +175,7 @@ class ToxicityModel:
                 to_word = np.zeros((len(used), DIM))
                 np.add.at(to_word, local, down[row_of])
                 to_word /= number[used][:, None]
-                to_gram = np.zeros((1 << BITS, DIM))
+                to_gram = np.zeros((1 << BITS, DIM), np.float32)
                 np.add.at(to_gram, grams, np.repeat(to_word, span, axis=0))
                 to_soft, to_bias = bag.T @ g + 1e-5 * soft, g.sum(axis=0)
                 square = (to_gram**2).mean(axis=1)
