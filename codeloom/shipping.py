@@ -19,7 +19,7 @@ def ship(spark: SparkSession) -> None:
         return
     _sent.add(context.applicationId)
     package = Path(__file__).resolve().parent
-    path = os.path.join(tempfile.mkdtemp(prefix="codeloom-"), "codeloom-src.zip")
+    path = os.path.join(os.path.realpath(tempfile.mkdtemp(prefix="codeloom-")), "codeloom-src.zip")
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
         for f in sorted(package.rglob("*.py")):
             z.write(f, f.relative_to(package.parent))
