@@ -137,6 +137,16 @@ def _verify(words: int, least: float):
     return run
 
 
+def _sent(spark: SparkSession, items: DataFrame, words: int, most: int):
+    """The items' ids and sets for every task, if they are small enough by their measured size; else None."""
+    items = items.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null")
+    size = items.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0))).first()[0]
+    if 2 * size > most:
+        return None
+    rows = items.collect()
+    return spark.sparkContext.broadcast(([r[0] for r in rows], list(shingle_sets(pa.array([r[1] for r in rows], pa.string()), words))))
+
+
 def contained_items(docs: DataFrame, items: DataFrame, words: int = 5, least: float = LEAST, sent_bytes: int = SENT_BYTES) -> DataFrame:
     """Pairs of a document and an item of which it holds ``least`` or more: doc_id, item_id, n_item, n_common, containment.
 
@@ -149,10 +159,8 @@ def contained_items(docs: DataFrame, items: DataFrame, words: int = 5, least: fl
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null")
     items = items.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null")
-    size = items.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0))).first()[0]
-    if 2 * size <= sent_bytes:
-        rows = items.collect()
-        sent = spark.sparkContext.broadcast(([r[0] for r in rows], list(shingle_sets(pa.array([r[1] for r in rows], pa.string()), words))))
+    sent = _sent(spark, items, words, sent_bytes)
+    if sent is not None:
         return docs.mapInArrow(_search(sent, words, least), _COLUMNS)
     scratch = Scratch(spark, "contained")
     keys = [t.mapInArrow(_keys(words, own), f"part int, key long, {name} long").distinct() for t, own, name in ((docs, False, "doc_id"), (items, True, "item_id"))]
@@ -163,9 +171,22 @@ def contained_items(docs: DataFrame, items: DataFrame, words: int = 5, least: fl
     return both.select("doc_id", "item_id", "_doc", "_item").mapInArrow(_verify(words, least), _COLUMNS)
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """``docs`` without the documents that hold a benchmark item."""
-    found = contained_items(docs, items).select(F.col("doc_id").alias("_gone")).distinct()
+def _keep_clean(sent, words: int, least: float, at: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = Index(*sent.value)
+        for batch in batches:
+            clean = [not any(_common(index.sets[i], s) >= least * len(index.sets[i]) for i in (index.search(s) if len(s) else ())) for s in shingle_sets(batch.column(at), words)]
+            yield batch.filter(pa.array(clean, pa.bool_()))
+
+    return run
+
+
+def drop_contaminated(docs: DataFrame, items: DataFrame, words: int = 5, least: float = LEAST, sent_bytes: int = SENT_BYTES) -> DataFrame:
+    """``docs`` without the documents that hold a benchmark item; while items are few, judged where they are read."""
+    sent = _sent(docs.sparkSession, items, words, sent_bytes)
+    if sent is not None:
+        return docs.mapInArrow(_keep_clean(sent, words, least, docs.columns.index("text")), docs.schema)
+    found = contained_items(docs, items, words, least, sent_bytes).select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(found, docs["doc_id"].eqNullSafe(found["_gone"]), "left_anti")
 
 

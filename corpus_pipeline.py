@@ -13,10 +13,12 @@ from codeloom.llm.near_dedup import drop_near_duplicates
 from codeloom.llm.packing import pack_documents
 from codeloom.llm.quality import keep_quality
 from codeloom.llm.scratch import Scratch
+from codeloom.shipping import ship
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go."""
+    ship(spark)
     return keep_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
@@ -27,16 +29,19 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the smallest doc_id stays."""
+    ship(spark)
     return drop_near_duplicates(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
+    ship(spark)
     return drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents become sequences whose lengths are powers of two."""
+    ship(spark)
     return pack_documents(docs)
 
 

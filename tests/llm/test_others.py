@@ -131,8 +131,10 @@ def test_containment_both_ways(docs_of, near_rows, spark):
 
 def test_contaminated_documents_go(docs_of, spark):
     it = spark.createDataFrame([(1, "one two three four five six")], "item_id long, text string")
-    out = decontaminate.drop_contaminated(docs_of([(1, "zero one two three four five six"), (2, "clean words"), (None, "one two three four five six"), (3, None)]), it)
-    assert sorted(r[0] for r in out.collect()) == [2, 3]
+    rows = docs_of([(1, "zero one two three four five six"), (2, "clean words"), (None, "one two three four five six"), (3, None)])
+    for sent in (decontaminate.SENT_BYTES, 0):
+        out = decontaminate.drop_contaminated(rows, it, sent_bytes=sent)
+        assert out.columns == rows.columns and sorted(r[0] for r in out.collect()) == [2, 3]
 
 
 # urls
