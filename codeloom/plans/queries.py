@@ -208,6 +208,12 @@ def incident_counts(spark, sf):
     return neighbors.incident_counts(star.edges(spark, sf), star.nodes(spark, sf).where("kind in ('Module', 'File', 'Type')"))
 
 
+@query("WITH b AS (SELECT DISTINCT filePath FROM nodes WHERE hasSyntaxErrors) SELECT id, hasSyntaxErrors OR filePath IN (SELECT filePath FROM b) AS flagged FROM nodes")
+def syntax_error_flags(spark, sf):
+    nodes = star.nodes(spark, sf)
+    return lookup.flag_syntax_errors(nodes, lookup.syntax_error_files(nodes)).select("id", F.col("hasSyntaxErrors").alias("flagged"))
+
+
 # walks
 
 _STEPS = "s AS (SELECT {own} AS src, {far} AS dst, id, row_number() OVER (PARTITION BY {own} ORDER BY resolved::INT DESC, id) AS r FROM edges WHERE kind IN ({kinds}))"
@@ -386,6 +392,12 @@ def ignore_layers(spark, sf):
     return pages.select("path", (~tree.ignored(F.col("path"), {"": "# notes\ntmp\nen\n!*.html\n"})).alias("kept"))
 
 
+@query("WITH f AS (SELECT url AS p, CASE WHEN page_id % 9 = 0 THEN NULL WHEN page_id % 5 = 0 THEN '/else/x' ELSE '/r/' || (page_id % 40) END AS r FROM pages) SELECT min(p) AS path FROM f WHERE r LIKE '/r/%' GROUP BY r", graph=False)
+def symlink_guard(spark, sf):
+    files = _t(spark, sf, "pages").selectExpr("url filePath", "case when page_id % 9 = 0 then null when page_id % 5 = 0 then '/else/x' else concat('/r/', page_id % 40) end realPath")
+    return tree.one_of_each(files, "/r").select(F.col("filePath").alias("path"))
+
+
 # changes
 
 
@@ -422,6 +434,26 @@ def declarations_group(spark, sf):
     return nodes.join(n, nodes["id"] == n["nodeId"], "left").select("id", "startLine", "endLine", "signature", "exported", F.coalesce("n", F.lit(0)).alias("declarations"))
 
 
+@query("SELECT sha256(string_agg('d/' || doc_id || '=' || n_chars, chr(10) ORDER BY 'd/' || doc_id || '=' || n_chars)) AS digest FROM documents WHERE doc_id < 100", graph=False)
+def build_digest(spark, sf):
+    """A build's files are few; the sign between path and hash is put where SQL can write it."""
+    files = _t(spark, sf, "documents").where("doc_id < 100").selectExpr("concat('d/', doc_id, '=', n_chars) filePath", "cast(null as string) contentHash")
+    return changes.digest(files)
+
+
+@query("WITH u AS (SELECT toId AS id, count(*) AS uses FROM edges WHERE kind IN ('CALLS', 'REFERENCES') GROUP BY toId), n AS (SELECT id, filePath FROM nodes WHERE kind NOT IN ('File', 'Module')) SELECT n.id, round(2.0 * uses / sum(uses) OVER (PARTITION BY filePath), 8) AS rank FROM n JOIN u USING (id)")
+def symbol_ranks(spark, sf):
+    nodes = star.nodes(spark, sf)
+    files = nodes.select("filePath").distinct().withColumn("rank", F.lit(2.0))
+    return rank.symbol_ranks(nodes, star.edges(spark, sf, ["CALLS", "REFERENCES"]), files).select("id", F.round("rank", 8).alias("rank"))
+
+
+@query("WITH r AS (SELECT p_partkey, p_size, sum(p_size) OVER (ORDER BY p_retailprice DESC, p_partkey) AS s FROM (SELECT * FROM part ORDER BY p_retailprice DESC, p_partkey LIMIT 10000)) SELECT p_partkey AS id, p_size AS cost FROM r WHERE s <= 1000", graph=False)
+def budgeted_map(spark, sf):
+    rows = _t(spark, sf, "part").selectExpr("p_partkey id", "p_size cost", "p_retailprice rank")
+    return rank.within_budget(rows, "cost", 1000).select("id", "cost")
+
+
 # streams, as batches
 
 
@@ -454,6 +486,12 @@ def dirty_first_seen(spark, sf):
     return stream.dirty_queue(_events(spark, sf))
 
 
+@query(_SESSIONS.format(key="user_id", out="path").replace("300", "3600") + " SELECT path, epoch_us(min(ts)) AS first_us, count(*) AS events FROM s GROUP BY path, s", graph=False)
+def idle_sessions(spark, sf):
+    out = stream.idle_sessions(_events(spark, sf), "path", "1 hour")
+    return out.select("path", F.unix_micros("first").alias("first_us"), "events")
+
+
 # reports
 
 
