@@ -5,12 +5,14 @@ with one of them, its pivot: a bucket of n near copies costs n comparisons. What
 the pivot doesn't link. Such an outsider x needs comparing with another member y only if the two aren't joined
 already, ``|d(x, pivot) - d(y, pivot)|`` is within the limit, as the triangle inequality asks of every link, and
 the two's sketches agree nearly as often as a link's must; the join itself tests all three, so it makes few pairs
-besides the links. No bucket is cut.
+besides the links. While buckets would still make many more pairs than they have members, an outsider of each
+becomes a further pivot, which joins more of them at the cost of one comparison each. No bucket is cut.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +20,9 @@ from pyspark.sql import functions as F
 from codeloom.llm.scratch import Scratch
 from codeloom.llm.union_find import components
 
+#: Further pivots are tried while buckets have more than so many open pairs a member, and at most so often.
+PAIRS_A_MEMBER, ROUNDS = 50, 3
+
 
 def near_links(
     entries: DataFrame,
@@ -36,7 +41,8 @@ def near_links(
     says whether their texts may be a link. Returns the rows of ``compare`` that are links.
     """
     buckets = scratch.keep(entries.groupBy("key").agg(F.min("node").alias("p"), F.max("node").alias("q")).where("p < q").select("key", "p"))
-    members = scratch.keep(entries.join(buckets, "key").where("node != p").select("key", "p", "node").distinct())
+    # buckets of several are few beside the entries, so entries needn't be sorted to meet them
+    members = scratch.keep(entries.join(buckets.hint("shuffle_hash"), "key").where("node != p").select("key", "p", "node").distinct())
     scratch.drop(buckets)
     star = members.select(F.col("p").alias("a"), F.col("node").alias("b")).distinct()
     nodes = members.select("node").unionByName(members.select(F.col("p").alias("node"))).distinct()
@@ -56,12 +62,33 @@ def near_links(
     sketches = scratch.keep(sketch(texts.join(held.select("node").distinct(), "node", "left_semi")))
     keys = held.groupBy("node").agg(F.collect_set("key").alias("keys"))  # a node has at most one key for each band
     held = scratch.keep(held.join(sketches.join(keys, "node"), "node").select("key", "node", "d", "c", "sketch", "keys"))
+    links, done = [first], first.select("a", "b")
+    for turn in range(ROUNDS):
+        parts = held.groupBy("key", "c").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"))
+        size = parts.agg(F.sum(F.col("n") * F.col("n") - F.col("same")), F.sum("n")).first()
+        if not size[0] or size[0] <= 2 * PAIRS_A_MEMBER * size[1]:
+            break
+        # the pivot comes from a bucket's open rows, another one in each turn
+        pick = F.min_by(F.struct("node", "c", "sketch"), F.struct(F.xxhash64(F.lit(turn), "node"), "node")).alias("pivot")
+        pivots = held.where(F.col("d") > limit).groupBy("key").agg(pick)
+        met = held.select("key", "node", "c", "sketch").join(pivots, "key").where((F.col("c") != F.col("pivot.c")) & alike(F.col("sketch"), F.col("pivot.sketch")))
+        pairs = met.select(F.least("node", "pivot.node").alias("a"), F.greatest("node", "pivot.node").alias("b")).distinct()
+        found = verify(pairs.join(done, ["a", "b"], "left_anti"))
+        links.append(found)
+        done = done.unionByName(found.select("a", "b"))
+        label = held.select("node", "c").distinct()
+        merged = found.where("link").select("a", "b").join(label.toDF("a", "ca"), "a").join(label.toDF("b", "cb"), "b").select("ca", "cb")
+        merged = components(merged, scratch).toDF("c", "_c")
+        before, held = held, scratch.keep(held.join(merged, "c", "left").withColumn("c", F.coalesce("_c", "c")).drop("_c"))
+        scratch.drop(before)
+        if found.where("link").count() < size[1] / 20:
+            break  # further pivots join few
     x = held.where(F.col("d") > limit).select("key", F.col("node").alias("x"), F.col("d").alias("dx"), F.col("c").alias("cx"), F.col("sketch").alias("sx"), F.col("keys").alias("kx"))
     y = held.select(F.col("key").alias("own"), F.col("node").alias("y"), F.col("d").alias("dy"), F.col("c").alias("cy"), F.col("sketch").alias("sy"), F.col("keys").alias("ky"))
     new = (F.col("cx") != F.col("cy")) & ((F.col("dy") <= limit) | (F.col("x") < F.col("y")))
     near = (F.abs(F.col("dx") - F.col("dy")) <= limit + 1e-9) & alike(F.col("sx"), F.col("sy"))
     once = F.array_min(F.array_intersect("kx", "ky")) == F.col("key")  # in the first bucket that both are in
     rest = x.join(y, (F.col("key") == F.col("own")) & new & near & once).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    second = verify(rest.join(first.select("a", "b"), ["a", "b"], "left_anti"))
+    links.append(verify(rest.join(done, ["a", "b"], "left_anti")))
     scratch.drop(members, held, sketches, texts)
-    return first.where("link").unionByName(second.where("link"))
+    return reduce(DataFrame.unionByName, [found.where("link") for found in links])
