@@ -62,8 +62,7 @@ def _sign(words: int, bands: int, rows: int):
     schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("keys", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        maker = _made.setdefault((bands, rows), None) or Circulant(bands, rows)
-        _made[(bands, rows)] = maker
+        maker = _made.get((bands, rows)) or _made.setdefault((bands, rows), Circulant(bands, rows))
         for batch in batches:
             size, digest, keys = [], [], []
             for found in shingle_sets(batch.column(1), words):
