@@ -225,7 +225,7 @@ def _steps(own: str, kinds: str) -> str:
 
 @query("WITH " + _steps("fromId", "'CALLS'") + " SELECT src, dst, id, r AS rank FROM s WHERE r <= 5")
 def fanout_cap(spark, sf):
-    return walk.steps(star.edges(spark, sf, ["CALLS"]), neighbors.OUTGOING, "CALLS", 5)
+    return walk.steps(star.edges(spark, sf, ["CALLS"]), neighbors.OUTGOING, "CALLS", 5).withColumn("rank", F.col("rank").cast("long"))
 
 
 def _reach_sql(own: str, kinds: str, start: str, fanout: int, depth: int) -> str:
@@ -543,7 +543,7 @@ def score_page(spark, sf):
 def knn_batch(spark, sf):
     vectors = _t(spark, sf, "embeddings").withColumn("nodeId", F.col("vec_id").cast("string"))
     asks = vectors.where("vec_id in (1, 2, 3)").select(F.col("vec_id").alias("queryId"), "embedding")
-    return similarity.nearest_each(vectors, asks, 5).select("queryId", "id", "rank")
+    return similarity.nearest_each(vectors, asks, 5).select(F.col("queryId").cast("long").alias("queryId"), "id", F.col("rank").cast("long").alias("rank"))
 
 
 @query("WITH t AS (SELECT vec_id % 50 AS id, i, avg(x) AS m FROM (SELECT vec_id, unnest(embedding::DOUBLE[]) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings WHERE vec_id % 7 <> 0) GROUP BY 1, 2), n AS (SELECT id, sqrt(sum(m * m)) AS n FROM t GROUP BY id) SELECT t.id, round(sum(i * m / n), 4) AS checksum FROM t JOIN n USING (id) GROUP BY t.id", graph=False)
