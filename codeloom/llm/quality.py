@@ -6,7 +6,7 @@ its words' vectors with three counts beside it. Words too rare for a vector of t
 (kinds of characters and length), which is what tells shouting, lists and markup.
 
 The network is fitted on a bounded sample and its logits are divided by a temperature fitted on a part of the
-sample that it hasn't seen. Every document is scored by its whole text in one pass without a shuffle.
+sample that it hasn't seen, in both each label weighted to its share among all labelled documents. Every document is scored by its whole text in one pass without a shuffle.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm.labelled import remainder, sample
+from codeloom.llm.labelled import remainder, sample, shares
 from codeloom.llm.textnum import U, column_bytes, hash_words, mix
 
 #: The classifier is fitted on at most so many labelled documents of each label.
@@ -59,7 +59,8 @@ def _unit(x: np.ndarray) -> np.ndarray:
 class QualityModel:
     """Word vectors, network and temperature. ``fit`` makes one from texts and labels; ``score`` gives probabilities."""
 
-    def fit(self, texts: list[str], labels: list[int], seed: int = 3) -> QualityModel:
+    def fit(self, texts: list[str], labels: list[int], share: float | None = None, seed: int = 3) -> QualityModel:
+        """``share``: that of label 1 among all labelled documents, if not as in ``labels``."""
         half = list(range(0, len(texts), 2))  # word vectors are learned from every other text, which bounds memory
         numbers, shapes, _, bounds = words_of(pa.array([texts[i] for i in half], pa.string()))
         known, count = np.unique(numbers, return_counts=True)
@@ -87,10 +88,12 @@ class QualityModel:
         rng = np.random.default_rng(seed)
         order = rng.permutation(len(x))
         held, used = order[: len(x) // 5], order[len(x) // 5 :]
-        self._train(x[used], y[used], rng)
+        one = y.mean()
+        w = np.ones(len(y)) if share is None else np.where(y > 0, share / max(one, 1e-9), (1 - share) / max(1 - one, 1e-9))
+        self._train(x[used], y[used], w[used], rng)
         z = self._logit(x[held])
         grid = np.exp(np.linspace(np.log(0.25), np.log(8), 60))
-        loss = [np.logaddexp(0, -np.where(y[held] > 0, z, -z) / t).mean() for t in grid] if len(held) else [0.0]
+        loss = [(w[held] * np.logaddexp(0, -np.where(y[held] > 0, z, -z) / t)).mean() for t in grid] if len(held) else [0.0]
         self.temperature = float(grid[int(np.argmin(loss))]) if len(held) else 1.0
         return self
 
@@ -114,7 +117,7 @@ class QualityModel:
                 out[i, DIM:] = len(np.unique(numbers[a:b])) / (b - a), np.log(b - a), length[a:b].mean()
         return out
 
-    def _train(self, x: np.ndarray, y: np.ndarray, rng: np.random.Generator, epochs: int = 60, batch: int = 64) -> None:
+    def _train(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray, rng: np.random.Generator, epochs: int = 60, batch: int = 64) -> None:
         shape = [(x.shape[1], HIDDEN), (HIDDEN,), (HIDDEN,), (1,)]
         p = [rng.normal(0, 1 / np.sqrt(shape[0][0]), shape[0]), np.zeros(HIDDEN), rng.normal(0, 1 / np.sqrt(HIDDEN), HIDDEN), np.zeros(1)]
         m, v, t = [np.zeros_like(a) for a in p], [np.zeros_like(a) for a in p], 0
@@ -123,7 +126,7 @@ class QualityModel:
             for i in range(0, len(x), batch):
                 b = order[i : i + batch]
                 h = np.tanh(x[b] @ p[0] + p[1])
-                g = (1 / (1 + np.exp(-np.clip(h @ p[2] + p[3][0], -30, 30))) - y[b]) / len(b)
+                g = (1 / (1 + np.exp(-np.clip(h @ p[2] + p[3][0], -30, 30))) - y[b]) * weight[b] / len(b)
                 gh = g[:, None] * p[2] * (1 - h * h)
                 grads = [x[b].T @ gh + 1e-4 * p[0], gh.sum(axis=0), h.T @ g + 1e-4 * p[2], np.array([g.sum()])]
                 t += 1
@@ -173,7 +176,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, bounds: dict[int, int] | Non
     rows.sort()  # rows come in any order, the model shall not depend on it
     if len({y for _, y in rows}) < 2:
         return Constant(rows[0][1] * 0.98 + 0.01 if rows else 0.5)
-    return QualityModel().fit([t for t, _ in rows], [y for _, y in rows])
+    return QualityModel().fit([t for t, _ in rows], [y for _, y in rows], shares(labels, "quality", 5, 0)[1])
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, bounds: dict[int, int] | None = None) -> DataFrame:

@@ -1,5 +1,6 @@
 import hashlib
 import os
+import random
 import re
 import zlib
 
@@ -272,6 +273,19 @@ def test_quality_on_held_out_labels(labelled):
     assert np.isfinite(model.score(pa.array(["", None, "x", "y " * 50000]))).all()
 
 
+def test_quality_keeps_the_share_of_labels(spark, docs_of):
+    rng = random.Random(8)
+    good, bad = "plain calm tidy words".split(), "odd loud messy words".split()
+    rows, told = [], []
+    for i in range(6000):
+        y = int(i % 5 > 0)
+        rows.append((i, " ".join(rng.choice(good if (rng.random() < 0.75) == y else bad) for _ in range(8))))
+        told.append((i, y))
+    labels = spark.createDataFrame(told, "doc_id long, quality int")
+    got = [r["score"] for r in quality.quality_scores(docs_of(rows), labels, {0: 800, 1: 800}).where("held_out").collect()]
+    assert abs(np.mean(got) - 0.8) < 0.03
+
+
 def test_toxicity_on_held_out_labels(labelled):
     train, held = split(labelled, 4, 2, 3)
     model = toxicity.ToxicityModel().fit([t for t, _ in train[:2500]], [y for _, y in train[:2500]], 0.1)
