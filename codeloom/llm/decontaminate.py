@@ -182,12 +182,17 @@ def _keep_clean(sent, words: int, least: float, at: int):
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, words: int = 5, least: float = LEAST, sent_bytes: int = SENT_BYTES) -> DataFrame:
-    """``docs`` without the documents that hold a benchmark item; while items are few, judged where they are read."""
+    """``docs`` without the documents that hold a benchmark item; while items are few, judged where they are read.
+
+    Every row is judged by its own text: beyond that size rows get keys of this call, so null or shared ids don't matter.
+    """
     sent = _sent(docs.sparkSession, items, words, sent_bytes)
     if sent is not None:
         return docs.mapInArrow(_keep_clean(sent, words, least, docs.columns.index("text")), docs.schema)
-    found = contained_items(docs, items, words, least, sent_bytes).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["_gone"]), "left_anti")
+    keyed = Scratch(docs.sparkSession, "clean").keep(docs.withColumn("_row", F.monotonically_increasing_id()))  # written, so keys hold
+    texts = keyed.select(F.col("_row").alias("doc_id"), "text")
+    found = contained_items(texts, items, words, least, sent_bytes).select(F.col("doc_id").alias("_gone")).distinct()
+    return keyed.join(found, F.col("_row") == F.col("_gone"), "left_anti").select(*docs.columns)
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

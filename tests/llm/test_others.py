@@ -138,6 +138,14 @@ def test_contaminated_documents_go(docs_of, spark):
         assert out.columns == rows.columns and sorted(r[0] for r in out.collect()) == [2, 3]
 
 
+def test_contaminated_rows_go_alone(docs_of, spark):
+    it = spark.createDataFrame([(1, "one two three four five six")], "item_id long, text string")
+    rows = docs_of([(None, "one two three four five six"), (None, "clean null id"), (5, "x one two three four five six"), (5, "clean shared id"), (6, None)])
+    for sent in (decontaminate.SENT_BYTES, 0):
+        out = decontaminate.drop_contaminated(rows, it, sent_bytes=sent)
+        assert out.columns == rows.columns and sorted(str(r[1]) for r in out.collect()) == ["None", "clean null id", "clean shared id"]
+
+
 # urls
 
 
