@@ -1,12 +1,15 @@
 """From band keys to verified links, without emitting all pairs of a bucket.
 
 Jaccard distance is a metric, and only connected groups are asked for. So each bucket first compares its members
-with one of them, its pivot: a bucket of n near copies costs n comparisons. What is then left are members that
-the pivot doesn't link. Such an outsider x needs comparing with another member y only if the two aren't joined
-already, ``|d(x, pivot) - d(y, pivot)|`` is within the limit, as the triangle inequality asks of every link, and
-the two's sketches agree nearly as often as a link's must; the join itself tests all three, so it makes few pairs
-besides the links. While buckets would still make many more pairs than they have members, an outsider of each
-becomes a further pivot, which joins more of them at the cost of one comparison each. No bucket is cut.
+with one of them, its pivot: a bucket of n near copies costs n comparisons. From then on buckets are forgotten: two
+nodes of one bucket have its pivot in common, so a row per node and pivot holds all that is left to compare, however
+many keys two near copies share.
+
+What is left are the outsiders, members that the pivot doesn't link. An outsider x needs comparing with another
+member y only if the two aren't joined already, ``|d(x, pivot) - d(y, pivot)|`` is within the limit, as the triangle
+inequality asks of every link, and the two's sketches agree nearly as often as a link's must; the join itself tests
+all three, so it makes few pairs besides the links. While pivots would still have many more pairs to test than
+members, an outsider of each becomes a further pivot, for as long as that joins what it meets. No group is cut.
 """
 
 from __future__ import annotations
@@ -20,8 +23,8 @@ from pyspark.sql import functions as F
 from codeloom.llm.scratch import Scratch
 from codeloom.llm.union_find import components
 
-#: Further pivots are tried while buckets have more than so many open pairs a member, and at most so often.
-PAIRS_A_MEMBER, ROUNDS = 50, 3
+#: Further pivots are tried while there are more than so many open pairs a member.
+PAIRS_A_MEMBER = 50
 
 
 def near_links(
@@ -36,59 +39,58 @@ def near_links(
     """The links among nodes that share a key.
 
     ``entries``: (key, node). ``texts_of`` takes (node) and returns (node, text). ``compare`` takes (a, b, ta, tb)
-    and returns (a, b, link boolean, dist double, ...): the exact verdict on each pair. ``limit`` is the largest
-    distance of a link. ``sketch`` takes (node, text) and returns (node, sketch); ``alike`` takes two sketches and
-    says whether their texts may be a link. Returns the rows of ``compare`` that are links.
+    and returns (a, b, link boolean, dist double, ...): the exact verdict on each pair; dist may be null where there
+    is no link. ``limit`` is the largest distance of a link. ``sketch`` takes (node, text) and returns (node,
+    sketch); ``alike`` takes two sketches and says whether their texts may be a link. Returns the rows of
+    ``compare`` that are links.
     """
     buckets = scratch.keep(entries.groupBy("key").agg(F.min("node").alias("p"), F.max("node").alias("q")).where("p < q").select("key", "p"))
     # buckets of several are few beside the entries, so entries needn't be sorted to meet them
-    members = scratch.keep(entries.join(buckets.hint("shuffle_hash"), "key").where("node != p").select("key", "p", "node").distinct())
+    star = entries.join(buckets.hint("shuffle_hash"), "key").where("node != p").select(F.col("p").alias("a"), F.col("node").alias("b")).distinct()
+    star = scratch.keep(star)
     scratch.drop(buckets)
-    star = members.select(F.col("p").alias("a"), F.col("node").alias("b")).distinct()
-    nodes = members.select("node").unionByName(members.select(F.col("p").alias("node"))).distinct()
-    texts = scratch.keep(texts_of(nodes))
+    texts = scratch.keep(texts_of(star.select(F.explode(F.array("a", "b")).alias("node")).distinct()))
 
     def verify(pairs: DataFrame) -> DataFrame:
         with_b = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
         return scratch.keep(compare(with_b.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb")))
 
     first = verify(star)
+    scratch.drop(star)
     joined = components(first.where("link").select("a", "b"), scratch)
-    known = first.groupBy(F.col("a").alias("p"), F.col("b").alias("node")).agg(F.min("dist").alias("d"))
-    held = members.join(known, ["p", "node"]).join(joined, "node", "left").select("key", "node", "d", F.coalesce("component", "node").alias("c"))
-    held = scratch.keep(held)
-    open_keys = held.groupBy("key").agg(F.max("d").alias("far"), F.min("c").alias("c0"), F.max("c").alias("c1")).where((F.col("far") > limit) & (F.col("c0") != F.col("c1"))).select("key")
-    held = held.join(open_keys, "key", "left_semi")
-    sketches = scratch.keep(sketch(texts.join(held.select("node").distinct(), "node", "left_semi")))
-    keys = held.groupBy("node").agg(F.collect_set("key").alias("keys"))  # a node has at most one key for each band
-    held = scratch.keep(held.join(sketches.join(keys, "node"), "node").select("key", "node", "d", "c", "sketch", "keys"))
-    links, done = [first], first.select("a", "b")
-    for turn in range(ROUNDS):
-        parts = held.groupBy("key", "c").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"))
-        size = parts.agg(F.sum(F.col("n") * F.col("n") - F.col("same")), F.sum("n")).first()
-        if not size[0] or size[0] <= 2 * PAIRS_A_MEMBER * size[1]:
+    known = first.groupBy(F.col("a").alias("p"), F.col("b").alias("node")).agg(F.max("link").alias("near"), F.min("dist").alias("d"))
+    held = scratch.keep(known.join(joined, "node", "left").select("p", "node", "near", "d", F.coalesce("component", "node").alias("c")))
+    left = held.groupBy("p").agg(F.min("near").alias("all"), F.min("c").alias("c0"), F.max("c").alias("c1")).where(~F.col("all") & (F.col("c0") != F.col("c1"))).select("p")
+    before, held = held, scratch.keep(held.join(left, "p", "left_semi"))
+    sketches = sketch(texts.join(held.select("node").distinct(), "node", "left_semi"))
+    wide, held = held, scratch.keep(held.join(sketches, "node").select("p", "node", "near", "d", "c", "sketch"))
+    scratch.drop(before, wide)
+    links, done, turn = [first], first.select("a", "b"), 0
+    while True:
+        parts = held.groupBy("p", "c").agg(F.count(F.lit(1)).alias("n")).groupBy("p").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"))
+        pairs, members = parts.agg(F.sum(F.col("n") * F.col("n") - F.col("same")), F.sum("n")).first()
+        if not pairs or pairs <= 2 * PAIRS_A_MEMBER * members:
             break
-        # the pivot comes from a bucket's open rows, another one in each turn
+        # the pivot comes from the group's outsiders, another one in each turn
         pick = F.min_by(F.struct("node", "c", "sketch"), F.struct(F.xxhash64(F.lit(turn), "node"), "node")).alias("pivot")
-        pivots = held.where(F.col("d") > limit).groupBy("key").agg(pick)
-        met = held.select("key", "node", "c", "sketch").join(pivots, "key").where((F.col("c") != F.col("pivot.c")) & alike(F.col("sketch"), F.col("pivot.sketch")))
-        pairs = met.select(F.least("node", "pivot.node").alias("a"), F.greatest("node", "pivot.node").alias("b")).distinct()
-        found = verify(pairs.join(done, ["a", "b"], "left_anti"))
+        pivots = held.where(~F.col("near")).groupBy("p").agg(pick)
+        met = held.select("p", "node", "c", "sketch").join(pivots, "p").where((F.col("c") != F.col("pivot.c")) & alike(F.col("sketch"), F.col("pivot.sketch")))
+        near = met.select(F.least("node", "pivot.node").alias("a"), F.greatest("node", "pivot.node").alias("b")).distinct()
+        found = verify(near.join(done, ["a", "b"], "left_anti"))
         links.append(found)
-        done = done.unionByName(found.select("a", "b"))
+        done, turn = done.unionByName(found.select("a", "b")), turn + 1
         label = held.select("node", "c").distinct()
         merged = found.where("link").select("a", "b").join(label.toDF("a", "ca"), "a").join(label.toDF("b", "cb"), "b").select("ca", "cb")
-        merged = components(merged, scratch).toDF("c", "_c")
-        before, held = held, scratch.keep(held.join(merged, "c", "left").withColumn("c", F.coalesce("_c", "c")).drop("_c"))
+        merged = components(merged, scratch).toDF("c", "to")
+        before, held = held, scratch.keep(held.join(merged, "c", "left").withColumn("c", F.coalesce("to", "c")).drop("to"))
         scratch.drop(before)
-        if found.where("link").count() < size[1] / 20:
-            break  # further pivots join few
-    x = held.where(F.col("d") > limit).select("key", F.col("node").alias("x"), F.col("d").alias("dx"), F.col("c").alias("cx"), F.col("sketch").alias("sx"), F.col("keys").alias("kx"))
-    y = held.select(F.col("key").alias("own"), F.col("node").alias("y"), F.col("d").alias("dy"), F.col("c").alias("cy"), F.col("sketch").alias("sy"), F.col("keys").alias("ky"))
-    new = (F.col("cx") != F.col("cy")) & ((F.col("dy") <= limit) | (F.col("x") < F.col("y")))
-    near = (F.abs(F.col("dx") - F.col("dy")) <= limit + 1e-9) & alike(F.col("sx"), F.col("sy"))
-    once = F.array_min(F.array_intersect("kx", "ky")) == F.col("key")  # in the first bucket that both are in
-    rest = x.join(y, (F.col("key") == F.col("own")) & new & near & once).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        if found.where("link").count() < members / 20:
+            break  # further pivots join few: what is left is unlike, and the sketches tell that
+    x = held.where(~F.col("near")).select("p", F.col("node").alias("x"), F.col("d").alias("dx"), F.col("c").alias("cx"), F.col("sketch").alias("sx"))
+    y = held.select(F.col("p").alias("own"), F.col("node").alias("y"), F.col("near").alias("ny"), F.col("d").alias("dy"), F.col("c").alias("cy"), F.col("sketch").alias("sy"))
+    new = (F.col("cx") != F.col("cy")) & (F.col("ny") | (F.col("x") < F.col("y")))
+    within = F.coalesce(F.abs(F.col("dx") - F.col("dy")) <= limit + 1e-9, F.lit(True))
+    rest = x.join(y, (F.col("p") == F.col("own")) & new & within & alike(F.col("sx"), F.col("sy"))).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     links.append(verify(rest.join(done, ["a", "b"], "left_anti")))
-    scratch.drop(members, held, sketches, texts)
+    scratch.drop(held, texts)
     return reduce(DataFrame.unionByName, [found.where("link") for found in links])
