@@ -39,16 +39,19 @@ def near_links(
     """The links among nodes that share a key.
 
     ``entries``: (key, node). ``texts_of`` takes (node) and returns (node, text). ``compare`` takes (a, b, ta, tb)
-    and returns (a, b, link boolean, dist double, ...): the exact verdict on each pair. ``limit`` is the largest
-    distance of a link. ``sketch`` takes (node, text) and returns (node,
+    and returns (a, b, link boolean, dist double, ...): the exact verdict on each pair; dist may be null where there
+    is no link. ``limit`` is the largest distance of a link. ``sketch`` takes (node, text) and returns (node,
     sketch); ``alike`` takes two sketches and says whether their texts may be a link. Returns the rows of
     ``compare`` that are links.
     """
-    # one exchange serves both sides of the join; a node has a key a band, so no key has more than a band's share of rows
-    dealt = entries.repartition("key")
+    # read from a table, so that one exchange serves both sides of the join (plans with explode are never found equal);
+    # a node has a key a band, so no key has more than a band's share of rows
+    table = scratch.keep(entries.where("key is not null and node is not null"))
+    dealt = table.where("key is not null and node is not null").repartition("key")
     buckets = dealt.groupBy("key").agg(F.min("node").alias("p"), F.max("node").alias("q")).where("p < q").select("key", "p")
     star = dealt.join(buckets.hint("shuffle_hash"), "key").where("node != p").select(F.col("p").alias("a"), F.col("node").alias("b")).distinct()
     star = scratch.keep(star)
+    scratch.drop(table)
     texts = scratch.keep(texts_of(star.select(F.explode(F.array("a", "b")).alias("node")).distinct()))
 
     def verify(pairs: DataFrame) -> DataFrame:
@@ -89,7 +92,7 @@ def near_links(
     x = held.where(~F.col("near")).select("p", F.col("node").alias("x"), F.col("d").alias("dx"), F.col("c").alias("cx"), F.col("sketch").alias("sx"))
     y = held.select(F.col("p").alias("own"), F.col("node").alias("y"), F.col("near").alias("ny"), F.col("d").alias("dy"), F.col("c").alias("cy"), F.col("sketch").alias("sy"))
     new = (F.col("cx") != F.col("cy")) & (F.col("ny") | (F.col("x") < F.col("y")))
-    within = F.abs(F.col("dx") - F.col("dy")) <= limit + 1e-9
+    within = F.coalesce(F.abs(F.col("dx") - F.col("dy")) <= limit + 1e-9, F.lit(True))
     rest = x.join(y, (F.col("p") == F.col("own")) & new & within & alike(F.col("sx"), F.col("sy"))).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     links.append(verify(rest.join(done, ["a", "b"], "left_anti")))
     scratch.drop(held, texts)
