@@ -6,19 +6,18 @@ distance over the squared true one then follows a chi-square law. Neighbours are
 projected distance and verified on the original vectors; the search stops when, were there a vector nearer than the
 k-th best so far, it would have been met already with probability ``SURE``.
 
-On a cluster one kd-tree doesn't fit. Its upper levels, fitted on a bounded sample of projections, part all vectors
-into leaves, and leaves over ``LEAF`` rows into blocks; each block has its own small tree. A query first searches its
-own leaf, which bounds its k-th distance, and then the leaves that the stopping test can't rule out by that bound:
-two rounds of equi-joins on blocks. Equal vectors are one entry that carries its least ids.
+On a cluster one kd-tree doesn't fit. Its splits, fitted on a bounded sample of projections, part all vectors into
+leaves, and leaves over ``LEAF`` rows into blocks, the units that are met in projected order and verified. A query
+first meets its own leaf, which bounds its k-th distance, and then the leaves that the stopping test can't rule out
+by that bound: two rounds in which queries stream past the blocks that they must meet, each block's distances being
+one matrix product. Equal vectors are one entry that carries its least ids.
 """
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -30,7 +29,9 @@ DIMS = 6
 #: Quantile 0.95 of the chi-square law with DIMS degrees of freedom.
 CHI = 12.592
 SURE = 0.95
-LEAF, BUCKET = 1024, 32
+LEAF = 1024
+#: Squared distances that differ by less are ties, as those of parallel vectors of different length.
+TIE = 12
 #: The upper tree is fitted on at most so many projections and has at most so many leaves.
 SAMPLE, MOST_LEAVES = 40_000, 4096
 K = 5
@@ -84,54 +85,21 @@ class Splits:
             n = node[inner]
             node[inner] = np.where(points[inner, axis[n]] < at[n], low[n], high[n])
 
-    def near(self, point: np.ndarray, radius2: float) -> np.ndarray:
-        """The leaves whose box is within a squared distance."""
+    def near(self, points: np.ndarray, radius2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of a point and a leaf whose box is within the point's squared distance."""
         lo, hi = np.array([b[0] for b in self.boxes]), np.array([b[1] for b in self.boxes])
-        gap = np.maximum(np.maximum(lo - point, point - hi), 0)
-        return np.flatnonzero((gap * gap).sum(axis=1) <= radius2)
+        gap = np.maximum(np.maximum(lo - points[:, None], points[:, None] - hi), 0)
+        return np.nonzero((gap * gap).sum(axis=2) <= radius2[:, None])
 
 
-class Tree:
-    """A kd-tree over one block's projections, for search by increasing projected distance."""
+def _vectors(col: pa.Array, dim: int) -> np.ndarray:
+    return np.array(col.flatten(), np.float64).reshape(-1, dim)
 
-    def __init__(self, points: np.ndarray):
-        self.points = points
-        self.nodes: list[tuple] = []
-        self._grow(np.arange(len(points)))
 
-    def _grow(self, rows: np.ndarray) -> int:
-        node, p = len(self.nodes), self.points[rows]
-        self.nodes.append(())
-        lo, hi = p.min(axis=0), p.max(axis=0)
-        axis = int(np.argmax(hi - lo))
-        if len(rows) <= BUCKET or hi[axis] == lo[axis]:
-            self.nodes[node] = (lo, hi, rows, -1, -1)
-            return node
-        order = rows[np.argsort(p[:, axis], kind="stable")]
-        half = len(order) // 2
-        self.nodes[node] = (lo, hi, None, self._grow(order[:half]), self._grow(order[half:]))
-        return node
-
-    def _gap(self, node: int, q: np.ndarray) -> float:
-        d = np.maximum(np.maximum(self.nodes[node][0] - q, q - self.nodes[node][1]), 0)
-        return float(d @ d)
-
-    def search(self, q: np.ndarray, unit: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int, bound2: float) -> list[tuple[float, int]]:
-        """The k nearest (squared distance, row), as far as the stopping test asks; ``bound2`` is a known k-th squared distance."""
-        heap, best = [(self._gap(0, q), 0)], []
-        while heap:
-            gap, node = heapq.heappop(heap)
-            kth = min(bound2, best[k - 1][0] if len(best) >= k else np.inf)
-            if gap > CHI * kth:  # a nearer vector would have been met with probability SURE
-                break
-            _, _, rows, a, b = self.nodes[node]
-            if rows is None:
-                for child in (a, b):
-                    heapq.heappush(heap, (self._gap(child, q), child))
-            else:
-                d = np.maximum(2 - 2 * (vectors[rows] @ unit), 0)
-                best = sorted(best + list(zip(d.tolist(), ids[rows].tolist(), rows.tolist(), strict=True)))[:k]
-        return best
+def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The cosines of rows of originals, in extended precision, so that equal ones are equal numbers."""
+    a, b = (x.astype(np.longdouble) / np.abs(x).max(axis=1, keepdims=True) for x in (a, b))
+    return ((a * b).sum(axis=1) / np.sqrt((a * a).sum(axis=1) * (b * b).sum(axis=1))).astype(np.float64)
 
 
 def _prepare(dim: int, splits):
@@ -141,55 +109,95 @@ def _prepare(dim: int, splits):
         turn = directions(dim)
         for batch in batches:
             if len(batch):
-                x = np.array(batch.column(2).flatten(), np.float64).reshape(-1, dim)
+                x = _vectors(batch.column(2), dim)
                 leaf = splits.value.assign(_unit(x) @ turn)
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(leaf), batch.column(3)], schema=schema)
 
     return run
 
 
+def _project(dim: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            p = _unit(_vectors(batch.column(0), dim)) @ directions(dim)
+            bounds = np.arange(len(p) + 1, dtype=np.int32) * DIMS
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(bounds), pa.array(p.ravel()))], names=["p"])
+
+    return run
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
     scale = np.abs(x).max(axis=1, keepdims=True)  # so that squares neither vanish nor overflow
     x = x / scale
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _block(dim: int, k: int):
-    columns = ["query", "bound2", "rep", "d2", "score"]
+FOUND = "query long, rep long, d2 double, score double"
+MET = "leaf long, block long, asks boolean, id long, embedding array<double>, bound2 double"
 
-    def run(queries: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
-        if not len(queries) or not len(block):
-            return pd.DataFrame({c: pd.Series(dtype="float64" if c in ("bound2", "d2", "score") else "int64") for c in columns})
-        turn = directions(dim)
-        block = block.sort_values("rep")
-        x = _unit(np.stack(block["embedding"].to_numpy()).astype(np.float64))
-        ids = block["rep"].to_numpy(np.int64)
-        tree = Tree(x @ turn)
-        units = _unit(np.stack(queries["embedding"].to_numpy()).astype(np.float64))
-        out = []
-        for q, unit, bound2 in zip(queries["query"].to_numpy(np.int64), units, queries["bound2"].to_numpy(np.float64), strict=True):
-            for d2, rep, row in tree.search(unit @ turn, unit, x, ids, k, bound2):
-                out.append((q, bound2, rep, d2, float(x[row] @ unit)))
-        return pd.DataFrame(out, columns=columns).astype({"query": "int64", "rep": "int64"})
+
+def _search(dim: int, k: int):
+    """Over rows of MET, sorted by block and within a block vectors before queries: the k nearest of each query in each block, within its bound."""
+    schema = pa.schema([("query", pa.int64()), ("rep", pa.int64()), ("d2", pa.float64()), ("score", pa.float64())])
+
+    def meet(ids: np.ndarray, x: np.ndarray, units: np.ndarray, query: np.ndarray, y: np.ndarray, bound2: np.ndarray) -> pa.RecordBatch:
+        d2 = np.round(np.maximum(2 - 2 * (_unit(y) @ units.T), 0), TIE)
+        if len(ids) > k:  # all that are no farther than the k-th, then the smallest ids of ties
+            bound2 = np.minimum(bound2, np.partition(d2, k - 1, axis=1)[:, k - 1])
+        q, row = np.nonzero(d2 <= bound2[:, None] + 10.0**-TIE)
+        order = np.lexsort((ids[row], d2[q, row], q))
+        q, row = q[order], row[order]
+        nth = np.arange(len(q)) - np.searchsorted(q, q)
+        q, row = q[nth < k], row[nth < k]
+        return pa.RecordBatch.from_arrays([pa.array(query[q]), pa.array(ids[row]), pa.array(d2[q, row]), pa.array(cosines(y[q], x[row]))], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, held, block = None, [], None
+        for batch in batches:
+            leaf, part, asks, ids = (np.asarray(batch.column(i).to_numpy(zero_copy_only=False)) for i in range(4))
+            x, bound2 = _vectors(batch.column(4), dim), batch.column(5).to_numpy(zero_copy_only=False)
+            edge = (leaf[1:] != leaf[:-1]) | (part[1:] != part[:-1]) | (asks[1:] != asks[:-1])
+            for i, j in zip(np.r_[0, np.flatnonzero(edge) + 1], np.r_[np.flatnonzero(edge) + 1, len(leaf)], strict=True):
+                if i == j:
+                    continue
+                if here != (leaf[i], part[i]):
+                    here, held, block = (leaf[i], part[i]), [], None
+                if not asks[i]:
+                    held.append((ids[i:j], x[i:j]))
+                elif held:
+                    if block is None:
+                        rows = np.concatenate([h[1] for h in held])
+                        block = (np.concatenate([h[0] for h in held]), rows, _unit(rows))
+                    for m in range(i, j, 512):
+                        to = min(j, m + 512)
+                        yield meet(*block, ids[m:to], x[m:to], bound2[m:to])
 
     return run
 
 
-def _route(dim: int, splits, blocks):
-    """A row for each block that a query must still visit."""
+def _route(dim: int, splits, blocks, first: bool):
+    """A row of MET for each block that a query (query, embedding, leaf, bound2) must meet: those of its own leaf first, then the others."""
+    schema = pa.schema([("leaf", pa.int64()), ("block", pa.int64()), ("asks", pa.bool_()), ("id", pa.int64()), ("embedding", pa.list_(pa.float64())), ("bound2", pa.float64())])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        turn = directions(dim)
-        for pdf in batches:
-            rows = []
-            units = _unit(np.stack(pdf["embedding"].to_numpy()).astype(np.float64)) if len(pdf) else []
-            for i, unit in enumerate(units):
-                home, bound2 = int(pdf["leaf"].iat[i]), float(pdf["bound2"].iat[i])
-                visit = [home] if np.isinf(bound2) else splits.value.near(unit @ turn, CHI * bound2)
-                for leaf in visit:
-                    if np.isinf(bound2) or leaf != home:
-                        rows += [(int(pdf["query"].iat[i]), pdf["embedding"].iat[i], home, bound2, int(leaf), b) for b in range(blocks.value.get(int(leaf), 1))]
-            yield pd.DataFrame(rows, columns=["query", "embedding", "home", "bound2", "leaf", "block"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn, many = directions(dim), np.asarray(blocks.value)
+        for whole in batches:
+            for at in range(0, len(whole), 64):
+                batch = whole.slice(at, 64)
+                home, bound2 = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+                if first:
+                    q, leaf = np.arange(len(batch)), home
+                else:
+                    q, leaf = splits.value.near(_unit(_vectors(batch.column(1), dim)) @ turn, CHI * bound2)
+                    q, leaf = q[leaf != home[q]], leaf[leaf != home[q]]
+                n = many[leaf]
+                block = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                q, leaf = np.repeat(q, n), np.repeat(leaf, n)
+                for i in range(0, len(q), 4096):
+                    s = slice(i, i + 4096)
+                    take = pa.array(q[s])
+                    cols = [pa.array(leaf[s]), pa.array(block[s]), pa.array(np.ones(len(q[s]), bool)), batch.column(0).take(take), batch.column(1).take(take), batch.column(3).take(take)]
+                    yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
 
     return run
 
@@ -226,34 +234,35 @@ def nearest(vectors: DataFrame, is_query: str, k: int = K, dim: int | None = Non
     first = keyed.join(classes, ["h1", "h2"]).where("vec_id = rep").dropDuplicates(["h1", "h2"])
     entries = scratch.keep(first.join(asked, ["h1", "h2"], "left").select("rep", "ids", "embedding", F.coalesce("asked", F.lit(False)).alias("asked"), "h1", "h2"))
     n = entries.count()
-    taken = entries.orderBy(F.xxhash64("h1", "h2"), "h1").limit(min(SAMPLE, 40 * (n // LEAF + 1))).select("embedding").collect()
-    sample = _unit(np.array([r[0] for r in taken], np.float64)) @ directions(dim) if taken else np.zeros((0, DIMS))
-    splits = spark.sparkContext.broadcast(Splits(sample, min(MOST_LEAVES, n // LEAF + 1)))
+    taken = entries.orderBy(F.xxhash64("h1", "h2"), "h1").limit(min(SAMPLE, 40 * (n // LEAF + 1))).select("embedding")
+    points = np.array(taken.mapInArrow(_project(dim), "p array<double>").toPandas()["p"].tolist(), np.float64).reshape(-1, DIMS)
+    splits = spark.sparkContext.broadcast(Splits(points, min(MOST_LEAVES, n // LEAF + 1)))
     index = scratch.keep(entries.select("rep", "ids", "embedding", "asked").mapInArrow(_prepare(dim, splits), "rep long, ids array<long>, embedding array<double>, leaf long, asked boolean"))
-    sizes = {r["leaf"]: -(-r["count"] // LEAF) for r in index.groupBy("leaf").count().collect()}  # at most MOST_LEAVES rows
-    blocks = spark.sparkContext.broadcast(sizes)
-    count = F.create_map(*[F.lit(int(x)) for kv in sizes.items() for x in kv if max(sizes.values()) > 1] or [F.lit(-1), F.lit(1)])
-    data = index.withColumn("block", F.pmod(F.xxhash64("rep"), F.coalesce(F.try_element_at(count, F.col("leaf").cast("int")), F.lit(1))))
-    data = data.select("leaf", F.col("block").cast("long").alias("block"), "rep", "embedding")
-    found = "query long, bound2 double, rep long, d2 double, score double"
-    routed = "query long, embedding array<double>, home long, bound2 double, leaf long, block long"
-
-    def visit(asks: DataFrame) -> DataFrame:
-        to = asks.mapInPandas(_route(dim, splits, blocks), routed)
-        return scratch.keep(to.groupBy("leaf", "block").cogroup(data.groupBy("leaf", "block")).applyInPandas(_block(dim, k + 1), found))
-
-    start = index.where("asked").select(F.col("rep").alias("query"), "embedding", "leaf", F.lit(float("inf")).alias("bound2"))
-    home = visit(start)
+    sizes = index.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / LEAF).alias("blocks"))  # at most MOST_LEAVES rows
+    many = np.ones(len(splits.value.boxes), np.int64)
+    for r in sizes.collect():
+        many[r["leaf"]] = r["blocks"]
+    blocks = spark.sparkContext.broadcast(many)
+    data = index.join(F.broadcast(sizes), "leaf").select("leaf", F.pmod(F.xxhash64("rep"), "blocks").alias("block"), F.lit(False).alias("asks"), F.col("rep").alias("id"), "embedding", F.lit(0.0).alias("bound2"))
+
+    def visit(asking: DataFrame, first: bool) -> DataFrame:
+        to = asking.select("query", "embedding", "leaf", "bound2").mapInArrow(_route(dim, splits, blocks, first), MET)
+        met = data.unionByName(to).repartition("leaf", "block").sortWithinPartitions("leaf", "block", "asks")
+        return scratch.keep(met.mapInArrow(_search(dim, k + 1), FOUND))
+
+    start = index.where("asked").select(F.col("rep").alias("query"), "embedding", "leaf", F.lit(4.0).alias("bound2"))
+    home = visit(start, True)
     order = W.partitionBy("query").orderBy("d2", "rep")
     kth = home.withColumn("r", F.row_number().over(order)).where(F.col("r") == k + 1).select("query", F.col("d2").alias("bound2"))
     # a leaf with fewer than k + 1 entries bounds nothing: such a query visits all leaves (no distance is over 4)
     again = start.drop("bound2").join(kth, "query", "left").withColumn("bound2", F.coalesce("bound2", F.lit(4.0)))
-    more = visit(again)
-    best = home.unionByName(more).select("query", "rep", "score").withColumn("r", F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "rep"))).where(F.col("r") <= k + 1)
-    ids = index.select(F.col("rep"), "ids")
+    more = visit(again, False)
+    splits.destroy()
+    blocks.destroy()
+    best = home.unionByName(more).withColumn("r", F.row_number().over(order)).where(F.col("r") <= k + 1)
     by_id = entries.select(F.col("rep").alias("query"), "h1", "h2")
     pairs = queries.join(by_id, ["h1", "h2"]).select(F.col("vec_id").alias("query_id"), "query").join(best.select("query", "rep", "score"), "query")
-    pairs = pairs.join(ids, "rep").select("query_id", F.explode("ids").alias("vec_id"), "score").where("vec_id != query_id")
+    pairs = pairs.join(index.select("rep", "ids"), "rep").select("query_id", F.explode("ids").alias("vec_id"), "score").where("vec_id != query_id")
     pairs = pairs.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return pairs.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
