@@ -6,13 +6,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: A document of more bytes isn't taken as an example, so a sample's size is bounded in bytes too.
+MOST_BYTES = 64 << 10
+
+
 def remainder(doc_id: str, divisor: int) -> Column:
     """crc32 of the id as text, modulo a divisor: a fold that any engine can tell."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % divisor
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, bounds: dict[int, int], divisor: int, held: int) -> list[tuple[str, int]]:
-    """(text, label) of at most ``bounds[value]`` documents for each label value, none of the held-out fold.
+    """(text, label) of at most ``bounds[value]`` documents for each label value, none of the held-out fold or over MOST_BYTES.
 
     Which ones: those of least hash of the id, so the sample doesn't depend on the order of rows. Ids that are
     labelled more than once have their least label.
@@ -24,7 +28,8 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, bounds: dict[int, int
     for p in parts[1:]:
         chosen = chosen.unionByName(p)
     # at most sum(bounds) ids are sent, whatever the size of the tables
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen.select("doc_id", "y")), "doc_id").select("text", "y").collect()
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen.select("doc_id", "y")), "doc_id")
+    rows = rows.where(F.coalesce(F.octet_length("text"), F.lit(0)) <= MOST_BYTES).select("text", "y").collect()
     return [(r[0] or "", int(r[1])) for r in rows]
 
 

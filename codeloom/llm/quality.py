@@ -61,27 +61,18 @@ class QualityModel:
 
     def fit(self, texts: list[str], labels: list[int], share: float | None = None, seed: int = 3) -> QualityModel:
         """``share``: that of label 1 among all labelled documents, if not as in ``labels``."""
-        half = list(range(0, len(texts), 2))  # word vectors are learned from every other text, which bounds memory
-        numbers, shapes, _, bounds = words_of(pa.array([texts[i] for i in half], pa.string()))
-        known, count = np.unique(numbers, return_counts=True)
+        blocks = [texts[i : i + 100] for i in range(0, len(texts), 100)]  # memory follows the block and the vocabulary
+        words = lambda block: words_of(pa.array(block, pa.string()))
+        known, count = np.unique(np.concatenate([words(b)[0] for b in blocks]), return_counts=True)
         known = known[count >= LEAST_COUNT] if (count >= LEAST_COUNT).sum() <= MOST_WORDS else np.sort(known[np.argsort(-count, kind="stable")[:MOST_WORDS]])
         self.known = known
-        rows = self._rows(numbers, shapes)
         index = index_vectors(np.concatenate([np.arange(SHAPES, dtype=np.uint64), known]))
         context = np.zeros_like(index)
-        doc = np.repeat(np.arange(len(half), dtype=np.int32), np.diff(bounds))
-        for step in range(1, NEAR + 1):
-            same = doc[step:] == doc[:-step]
-            for at, by, turn in ((rows[:-step][same], rows[step:][same], step), (rows[step:][same], rows[:-step][same], -step)):
-                pairs, times = np.unique(at * len(index) + by, return_counts=True)
-                turned = np.roll(index, turn, axis=1)
-                for i in range(0, len(pairs), 1 << 14):
-                    part = pairs[i : i + (1 << 14)]
-                    w = part // len(index)
-                    heads = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]]))
-                    context[w[heads]] += np.add.reduceat(turned[part % len(index)] * times[i : i + (1 << 14), None].astype(np.float32), heads, axis=0)
+        for numbers, shapes, _, bounds in map(words, blocks):
+            self._learn(context, index, self._rows(numbers, shapes), np.repeat(np.arange(len(bounds) - 1, dtype=np.int32), np.diff(bounds)))
         self.vectors = (_unit(context) + _unit(index)).astype(np.float32)
-        x = np.concatenate([self._pool(*words_of(pa.array(texts[i : i + 200], pa.string()))) for i in range(0, len(texts), 200)])
+        del index, context
+        x = np.concatenate([self._pool(*words(b)) for b in blocks])
         y = np.array(labels, np.float64)
         self.mean, self.scale = x.mean(axis=0), x.std(axis=0) + 1e-6
         x = (x - self.mean) / self.scale
@@ -97,6 +88,19 @@ class QualityModel:
         self.temperature = float(grid[int(np.argmin(loss))]) if len(held) else 1.0
         return self
 
+    def _learn(self, context: np.ndarray, index: np.ndarray, rows: np.ndarray, doc: np.ndarray) -> None:
+        """Adds to each word's context the index vectors of its neighbours in its document, turned by their distance."""
+        for step in range(1, NEAR + 1):
+            same = doc[step:] == doc[:-step]
+            for at, by, turn in ((rows[:-step][same], rows[step:][same], step), (rows[step:][same], rows[:-step][same], -step)):
+                pairs, times = np.unique(at * len(index) + by, return_counts=True)
+                turned = np.roll(index, turn, axis=1)
+                for i in range(0, len(pairs), 1 << 14):
+                    part = pairs[i : i + (1 << 14)]
+                    w = part // len(index)
+                    heads = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]]))
+                    context[w[heads]] += np.add.reduceat(turned[part % len(index)] * times[i : i + (1 << 14), None].astype(np.float32), heads, axis=0)
+
     def _rows(self, numbers: np.ndarray, shapes: np.ndarray) -> np.ndarray:
         """Each word's row in the vectors: by itself if it is known, else by its shape."""
         if not len(self.known):
