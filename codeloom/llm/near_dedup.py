@@ -152,7 +152,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, per_cent: int = 75, bands:
     entries = signed.where("keys is not null").select(F.explode("keys").alias("key"), F.col("doc_id").alias("node"))
 
     def texts_of(nodes: DataFrame) -> DataFrame:
-        return docs.join(nodes, docs["doc_id"] == nodes["node"]).select("node", "text")
+        return docs.join(nodes.hint("merge"), docs["doc_id"] == nodes["node"]).select("node", "text")  # nodes grow with the documents
 
     def compare(pairs: DataFrame) -> DataFrame:
         return pairs.mapInArrow(_compare(words, per_cent), "a long, b long, link boolean, dist double")
