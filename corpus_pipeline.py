@@ -16,32 +16,43 @@ from codeloom.llm.scratch import Scratch
 from codeloom.shipping import ship
 
 
+#: Rows of documents that pass between Spark and Python at once; ten times as many take 30 MB on either side and in each task.
+BATCH = 1000
+
+
+def _ready(spark: SparkSession) -> None:
+    """The package on the executors, and batches that fit whole documents."""
+    ship(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go."""
-    ship(spark)
+    _ready(spark)
     return keep_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of lines that are alike across the corpus the first stays."""
+    _ready(spark)
     return drop_duplicate_lines(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the smallest doc_id stays."""
-    ship(spark)
+    _ready(spark)
     return drop_near_duplicates(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
-    ship(spark)
+    _ready(spark)
     return drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents become sequences whose lengths are powers of two."""
-    ship(spark)
+    _ready(spark)
     return pack_documents(docs)
 
 
