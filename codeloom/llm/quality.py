@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.llm.labelled import remainder, sample, shares
-from codeloom.llm.textnum import U, column_bytes, hash_words, mix
+from codeloom.llm.textnum import U, column_bytes, give_back, hash_words, mix
 
 #: The classifier is fitted on at most so many labelled documents of each label.
 SAMPLE = {0: 1200, 1: 1800}
@@ -180,7 +180,10 @@ def fit_quality(docs: DataFrame, labels: DataFrame, bounds: dict[int, int] | Non
     rows.sort()  # rows come in any order, the model shall not depend on it
     if len({y for _, y in rows}) < 2:
         return Constant(rows[0][1] * 0.98 + 0.01 if rows else 0.5)
-    return QualityModel().fit([t for t, _ in rows], [y for _, y in rows], shares(labels, "quality", 5, 0)[1])
+    model = QualityModel().fit([t for t, _ in rows], [y for _, y in rows], shares(labels, "quality", 5, 0)[1])
+    del rows
+    give_back()
+    return model
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, bounds: dict[int, int] | None = None) -> DataFrame:
@@ -204,6 +207,7 @@ def keep_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
             for i in range(0, len(batch), 500):
                 part = batch.slice(i, 500)
                 yield part.filter(pa.array(sent.value.score(part.column(at)) >= THRESHOLD))
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)
 

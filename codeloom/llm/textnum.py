@@ -7,6 +7,8 @@ block and the longest word.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,6 +25,15 @@ _BYTE = np.random.default_rng(20240611).integers(1, 1 << 63, 256, dtype=np.uint6
 _ROLL = np.random.default_rng(77).integers(1, 1 << 63, 64, dtype=np.uint64) * U(2) + U(1)
 
 
+def give_back() -> None:
+    """Returns what a task has freed to the machine, as Python workers stay when their task ends."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only glibc has it
+    if trim is not None:
+        trim(0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads every bit (the finaliser of splitmix64)."""
     x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
