@@ -5,7 +5,7 @@ with one of them, its pivot: a bucket of n near copies costs n comparisons. From
 nodes of one bucket have its pivot in common, so a row per node and pivot holds all that is left to compare, however
 many keys two near copies share.
 
-What is left are the outsiders, members that the pivot doesn't link. An outsider x needs comparing with another
+A bucket of two has nothing left to compare then. In others there are the outsiders, members that the pivot doesn't link. An outsider x needs comparing with another
 member y only if the two aren't joined already, ``|d(x, pivot) - d(y, pivot)|`` is within the limit, as the triangle
 inequality asks of every link, and the two's sketches agree nearly as often as a link's must; the join itself tests
 all three, so it makes few pairs besides the links. While pivots would still have many more pairs to test than
@@ -24,7 +24,7 @@ from codeloom.llm.scratch import Scratch
 from codeloom.llm.union_find import components
 
 #: Further pivots are tried while there are more than so many open pairs a member.
-PAIRS_A_MEMBER = 50
+PAIRS_A_MEMBER = 8
 
 
 def near_links(
@@ -35,34 +35,36 @@ def near_links(
     scratch: Scratch,
     sketch: Callable[[DataFrame], DataFrame],
     alike: Callable[[Column, Column], Column],
+    fit: Callable[[Column, Column], Column] = lambda a, b: F.lit(True),
 ) -> DataFrame:
     """The links among nodes that share a key.
 
     ``entries``: (key, node). ``texts_of`` takes (node) and returns (node, text). ``compare`` takes (a, b, ta, tb)
-    and returns (a, b, link boolean, dist double, ...): the exact verdict on each pair; dist may be null where there
-    is no link. ``limit`` is the largest distance of a link. ``sketch`` takes (node, text) and returns (node,
-    sketch); ``alike`` takes two sketches and says whether their texts may be a link. Returns the rows of
-    ``compare`` that are links.
+    and returns (a, b, link boolean, dist double, ...): the exact verdict on each pair. ``limit`` is the largest
+    distance of a link. ``sketch`` takes (node, text) and returns (node, sketch); ``alike`` takes two sketches and
+    says whether their texts may be a link; ``fit`` says it of two nodes, before their texts are fetched. Returns the
+    rows of ``compare`` that are links.
     """
     # read from a table, so that one exchange serves both sides of the join (plans with explode are never found equal);
     # a node has a key a band, so no key has more than a band's share of rows
     table = scratch.keep(entries.where("key is not null and node is not null"))
     dealt = table.where("key is not null and node is not null").repartition("key")
-    buckets = dealt.groupBy("key").agg(F.min("node").alias("p"), F.max("node").alias("q")).where("p < q").select("key", "p")
-    star = dealt.join(buckets.hint("shuffle_hash"), "key").where("node != p").select(F.col("p").alias("a"), F.col("node").alias("b")).distinct()
+    buckets = dealt.groupBy("key").agg(F.min("node").alias("p"), F.max("node").alias("q"), (F.count(F.lit(1)) > 2).alias("more")).where("p < q").select("key", "p", "more")
+    star = dealt.join(buckets.hint("shuffle_hash"), "key").where("node != p").groupBy(F.col("p").alias("a"), F.col("node").alias("b")).agg(F.max("more").alias("more"))
     star = scratch.keep(star)
     scratch.drop(table)
-    texts = scratch.keep(texts_of(star.select(F.explode(F.array("a", "b")).alias("node")).distinct()))
+    texts = scratch.keep(texts_of(star.where(fit(F.col("a"), F.col("b")) | F.col("more")).select(F.explode(F.array("a", "b")).alias("node")).distinct()))
 
     def verify(pairs: DataFrame) -> DataFrame:
         with_b = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
         return scratch.keep(compare(with_b.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb")))
 
-    first = verify(star)
-    scratch.drop(star)
+    first = verify(star.where(fit(F.col("a"), F.col("b"))).select("a", "b"))
     joined = components(first.where("link").select("a", "b"), scratch)
-    known = first.groupBy(F.col("a").alias("p"), F.col("b").alias("node")).agg(F.max("link").alias("near"), F.min("dist").alias("d"))
+    told = first.groupBy("a", "b").agg(F.max("link").alias("near"), F.min("dist").alias("d"))
+    known = star.where("more").join(told, ["a", "b"], "left").select(F.col("a").alias("p"), F.col("b").alias("node"), F.coalesce("near", F.lit(False)).alias("near"), "d")
     held = scratch.keep(known.join(joined, "node", "left").select("p", "node", "near", "d", F.coalesce("component", "node").alias("c")))
+    scratch.drop(star)
     left = held.groupBy("p").agg(F.min("near").alias("all"), F.min("c").alias("c0"), F.max("c").alias("c1")).where(~F.col("all") & (F.col("c0") != F.col("c1"))).select("p")
     before, held = held, scratch.keep(held.join(left, "p", "left_semi"))
     sketches = sketch(texts.join(held.select("node").distinct(), "node", "left_semi"))
@@ -77,7 +79,7 @@ def near_links(
         # the pivot comes from the group's outsiders, another one in each turn
         pick = F.min_by(F.struct("node", "c", "sketch"), F.struct(F.xxhash64(F.lit(turn), "node"), "node")).alias("pivot")
         pivots = held.where(~F.col("near")).groupBy("p").agg(pick)
-        met = held.select("p", "node", "c", "sketch").join(pivots, "p").where((F.col("c") != F.col("pivot.c")) & alike(F.col("sketch"), F.col("pivot.sketch")))
+        met = held.select("p", "node", "c", "sketch").join(pivots, "p").where((F.col("c") != F.col("pivot.c")) & fit(F.col("node"), F.col("pivot.node")) & alike(F.col("sketch"), F.col("pivot.sketch")))
         near = met.select(F.least("node", "pivot.node").alias("a"), F.greatest("node", "pivot.node").alias("b")).distinct()
         found = verify(near.join(done, ["a", "b"], "left_anti"))
         links.append(found)
@@ -93,7 +95,7 @@ def near_links(
     y = held.select(F.col("p").alias("own"), F.col("node").alias("y"), F.col("near").alias("ny"), F.col("d").alias("dy"), F.col("c").alias("cy"), F.col("sketch").alias("sy"))
     new = (F.col("cx") != F.col("cy")) & (F.col("ny") | (F.col("x") < F.col("y")))
     within = F.coalesce(F.abs(F.col("dx") - F.col("dy")) <= limit + 1e-9, F.lit(True))
-    rest = x.join(y, (F.col("p") == F.col("own")) & new & within & alike(F.col("sx"), F.col("sy"))).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    rest = x.join(y, (F.col("p") == F.col("own")) & new & within & fit(F.col("x"), F.col("y")) & alike(F.col("sx"), F.col("sy"))).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     links.append(verify(rest.join(done, ["a", "b"], "left_anti")))
     scratch.drop(held, texts)
     return reduce(DataFrame.unionByName, [found.where("link") for found in links])
