@@ -24,7 +24,7 @@ from codeloom.llm.scratch import Scratch
 from codeloom.llm.union_find import components
 
 #: Further pivots are tried while there are more than so many open pairs a member.
-PAIRS_A_MEMBER = 8
+PAIRS_A_MEMBER = 2
 
 
 def near_links(
@@ -89,7 +89,7 @@ def near_links(
         merged = components(merged, scratch).toDF("c", "to")
         before, held = held, scratch.keep(held.join(merged, "c", "left").withColumn("c", F.coalesce("to", "c")).drop("to"))
         scratch.drop(before)
-        if found.where("link").count() < members / 20:
+        if found.where("link").count() < members / 50:
             break  # further pivots join few: what is left is unlike, and the sketches tell that
     x = held.where(~F.col("near")).select("p", F.col("node").alias("x"), F.col("d").alias("dx"), F.col("c").alias("cx"), F.col("sketch").alias("sx"))
     y = held.select(F.col("p").alias("own"), F.col("node").alias("y"), F.col("near").alias("ny"), F.col("d").alias("dy"), F.col("c").alias("cy"), F.col("sketch").alias("sy"))
