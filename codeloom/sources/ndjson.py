@@ -19,17 +19,18 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 def classify(lines: DataFrame) -> DataFrame:
     """lines (value) with node, edge and bad: each line is a node if it reads as one, else an edge, else bad; blanks go.
 
-    Works on batches and on streams.
+    Works on batches and on streams. A column seq, the lines' order, is carried along.
     """
     text = F.regexp_replace("value", r"\r$", "")
-    out = lines.select(text.alias("value")).where(F.trim("value") != "")
+    order = [c for c in lines.columns if c == "seq"]
+    out = lines.select(text.alias("value"), *order).where(F.trim("value") != "")
     out = out.withColumn("n", F.from_json("value", NODE_WIRE)).withColumn("e", F.from_json("value", EDGE_WIRE))
     n, e = F.col("n"), F.col("e")
     kind_ok = n["kind"].isin(model.NODE_KINDS) & n["id"].isNotNull() & n["name"].isNotNull() & n["filePath"].isNotNull() & n["range"].isNotNull()
     edge_ok = e["kind"].isin(model.EDGE_KINDS) & e["source"].isin(model.EDGE_SOURCES) & e["id"].isNotNull() & e["fromId"].isNotNull() & e["toId"].isNotNull()
     node = F.coalesce(kind_ok, F.lit(False))
     edge = ~node & F.coalesce(edge_ok, F.lit(False))
-    return out.select("value", F.when(node, n).alias("node"), F.when(edge, e).alias("edge"), (~node & ~edge).alias("bad"))
+    return out.select("value", *order, F.when(node, n).alias("node"), F.when(edge, e).alias("edge"), (~node & ~edge).alias("bad"))
 
 
 def split(classified: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:

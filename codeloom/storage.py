@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import tempfile
 import uuid
 
@@ -14,9 +15,11 @@ from codeloom import model
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where that is unset (on one machine), a temporary folder that is set as it."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """spark.checkpoint.dir; where that is unset, on one machine only, a temporary folder that is set as it."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("on a cluster spark.checkpoint.dir must name a folder that all machines share")
         found = "file://" + tempfile.mkdtemp(prefix="codeloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -40,10 +43,11 @@ class IndexNotReady(RuntimeError):
 
 
 class TableRoot:
-    """Tables under ``<base>/<project hash>/gen-<uuid>/``, and a pointer file that names the current generation.
+    """Tables under ``<base>/<project hash>/gen-<uuid>/``, and numbered pointer files of which the last names the current generation.
 
-    Spark has no MERGE on Parquet, so a commit writes a whole new generation and then replaces the pointer, one
-    small file; readers keep the generation that they opened. A schema or indexer version that differs from the
+    Spark has no MERGE on Parquet, so a commit writes a whole new generation and then renames one small file to the
+    next pointer's name. No step takes a pointer away before its successor stands, so a crash leaves the old or the
+    new generation; two commits at once can't both take a number. Readers keep the generation that they opened. A schema or indexer version that differs from the
     stored one reads as empty, so the index is rebuilt.
     """
 
@@ -57,19 +61,25 @@ class TableRoot:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return p, p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
+    def _pointers(self) -> list[int]:
+        """The numbers of the pointers, last first."""
+        p, fs = self._fs(self.root)
+        names = [f.getPath().getName() for f in fs.listStatus(p)] if fs.exists(p) else []
+        return sorted((int(n[8:]) for n in names if n.startswith("CURRENT-")), reverse=True)
+
     def meta(self) -> dict:
-        """The pointer's content: generation, versions and times; empty if there is none or versions differ."""
-        p, fs = self._fs(f"{self.root}/CURRENT")
-        if not fs.exists(p):
+        """The last pointer's content: generation, versions and times; empty if there is none or versions differ."""
+        numbers = self._pointers()
+        if not numbers:
             return {}
-        found = json.loads("\n".join(r[0] for r in self.spark.read.text(f"{self.root}/CURRENT").collect()))
+        found = json.loads("\n".join(r[0] for r in self.spark.read.text(f"{self.root}/CURRENT-{numbers[0]:012}").collect()))
         return found if all(found.get(k) == v for k, v in self.versions.items()) else {}
 
     def read(self, table: str) -> DataFrame:
         meta = self.meta()
         if not meta or table not in meta.get("tables", []):
             return self.spark.createDataFrame([], self.TABLES[table])
-        return model.conform(self.spark.read.parquet(f"{self.root}/{meta['generation']}/{table}"), self.TABLES[table])
+        return model.conform(self.spark.read.schema(self.TABLES[table]).parquet(f"{self.root}/{meta["generation"]}/{table}"), self.TABLES[table])  # an empty table may have no file
 
     def ready(self) -> dict:
         """meta, or IndexNotReady while the first bulk index runs."""
@@ -92,14 +102,17 @@ class TableRoot:
         self._point(json.dumps(kept | meta | self.versions | {"generation": generation, "tables": list(self.TABLES)}))
 
     def _point(self, text: str) -> None:
-        new, fs = self._fs(f"{self.root}/.CURRENT-{uuid.uuid4().hex}")
+        numbers = self._pointers()
+        new, fs = self._fs(f"{self.root}/.new-{uuid.uuid4().hex}")
         out = fs.create(new, True)
         out.write(bytearray(text.encode()))
         out.close()
-        current, _ = self._fs(f"{self.root}/CURRENT")
-        fs.delete(current, False)
-        if not fs.rename(new, current):
-            raise OSError(f"can't replace {current}")
+        target, _ = self._fs(f"{self.root}/CURRENT-{(numbers or [0])[0] + 1:012}")
+        if fs.exists(target) or not fs.rename(new, target):
+            fs.delete(new, False)
+            raise OSError(f"another commit took {target}")
+        for number in numbers[1:]:  # the one before stays for readers that have just listed it
+            fs.delete(self._fs(f"{self.root}/CURRENT-{number:012}")[0], False)
 
 
 def cluster_edges(edges: DataFrame, files: int, by: str = "toId") -> DataFrame:

@@ -69,9 +69,14 @@ def idle_sessions(events: DataFrame, key: str, idle: str) -> DataFrame:
 
 
 def apply_lines(root: TableRoot, lines: DataFrame, after: Callable[[DataFrame, DataFrame], None] | None = None) -> None:
-    """One micro-batch of wire lines: upserts nodes and edges in one commit; then ``after`` (nodes, edges), whose failure isn't the batch's."""
-    nodes, edges, declarations, _ = ndjson.split(ndjson.classify(lines))
-    nodes, edges = nodes.dropDuplicates(["id"]), edges.dropDuplicates(["id"])
+    """One micro-batch of wire lines (value [, place]): upserts nodes and edges in one commit; then ``after`` (nodes, edges), whose failure isn't the batch's.
+
+    Of lines with one id the last is taken: by place, a line's file and where in it its part begins, then as read.
+    """
+    order = [c for c in lines.columns if c == "place"]
+    told = ndjson.classify(lines.select("value", F.struct(*order, F.monotonically_increasing_id().alias("at")).alias("seq")))
+    last = [changes.last_wins(told.where(f"{kind} is not null").withColumn("id", F.col(f"{kind}.id")), "id", "seq").drop("id") for kind in ("node", "edge")]
+    nodes, edges, declarations, _ = ndjson.split(last[0].unionByName(last[1]))
     none = nodes.select("id").limit(0)
     new = changes.apply_graph(root.read("nodes"), root.read("edges"), root.read("declarations"), nodes, none, edges, none, declarations)
     root.commit(dict(zip(("nodes", "edges", "declarations"), new, strict=True)))
@@ -84,5 +89,6 @@ def apply_lines(root: TableRoot, lines: DataFrame, after: Callable[[DataFrame, D
 
 def ingest(spark: SparkSession, folder: str, root: TableRoot, checkpoint: str, available_now: bool = True):
     """Starts a query that applies wire files of a folder; a batch that is replayed after a crash changes nothing more."""
-    query = spark.readStream.text(folder).writeStream.foreachBatch(lambda df, batch: apply_lines(root, df)).option("checkpointLocation", checkpoint)
+    place = F.struct("_metadata.file_modification_time", "_metadata.file_path", "_metadata.file_block_start").alias("place")
+    query = spark.readStream.text(folder).select("value", place).writeStream.foreachBatch(lambda df, batch: apply_lines(root, df)).option("checkpointLocation", checkpoint)
     return query.trigger(availableNow=True).start() if available_now else query.start()

@@ -1,3 +1,6 @@
+import json
+import os
+
 import graphs
 import pytest
 from pyspark.sql import functions as F
@@ -53,6 +56,42 @@ def test_table_root(spark, tmp_path):
     assert TableRoot(spark, f"file://{tmp_path}", "/work/p", schema_version="2").read("nodes").count() == 0
 
 
+def test_a_crash_between_pointer_steps_keeps_the_index(spark, tmp_path, monkeypatch):
+    root = TableRoot(spark, f"file://{tmp_path}", "p")
+    root.commit({"nodes": graphs.nodes(spark, [graphs.node("a")])})
+    root.commit({"nodes": graphs.nodes(spark, [graphs.node("b")])})
+    p, fs = root._fs(root.root)
+
+    class Crashing:
+        """A file system whose rename never comes back."""
+
+        def __getattr__(self, name):
+            return getattr(fs, name)
+
+        def rename(self, a, b):
+            raise KeyboardInterrupt
+
+    monkeypatch.setattr(root, "_fs", lambda path: (spark._jvm.org.apache.hadoop.fs.Path(path), Crashing()))
+    with pytest.raises(KeyboardInterrupt):
+        root.commit({"nodes": graphs.nodes(spark, [graphs.node("c")])})
+    again = TableRoot(spark, f"file://{tmp_path}", "p")
+    assert [r["id"] for r in again.read("nodes").collect()] == ["b"]
+    again.commit({"nodes": graphs.nodes(spark, [graphs.node("d")])})
+    assert [r["id"] for r in again.read("nodes").collect()] == ["d"]
+
+
+def test_the_last_line_of_an_id_wins(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    named = lambda i, n: json.dumps(json.loads(NODE % i) | {"name": n})
+    for i, names in enumerate((["one", "two"], ["three"])):
+        (folder / f"{9 - i}.ndjson").write_text("\n".join(named("a", n) for n in names))
+        os.utime(folder / f"{9 - i}.ndjson", (1_000_000 + i, 1_000_000 + i))
+    root = TableRoot(spark, f"file://{tmp_path}/root", "p")
+    stream.ingest(spark, str(folder), root, f"{tmp_path}/cp").awaitTermination()
+    assert [r["name"] for r in root.read("nodes").collect()] == ["three"]
+
+
 def test_stream_ingest_can_be_replayed(spark, tmp_path):
     folder = tmp_path / "in"
     folder.mkdir()
