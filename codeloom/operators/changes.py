@@ -70,6 +70,7 @@ def union(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def digest(files: DataFrame) -> DataFrame:
-    """(digest): one hash over all files (filePath, contentHash) in path order, of one build's few files."""
-    return files.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("filePath", "contentHash"))), lambda f: F.concat_ws("\u0000", f["filePath"], f["contentHash"])), "\n"), 256).alias("digest"))
+def digest(files: DataFrame, *by: str) -> DataFrame:
+    """(*by, digest): one hash over the files (filePath, contentHash) of each build in path order; a build's files are few."""
+    line = F.transform(F.array_sort(F.collect_list(F.struct("filePath", "contentHash"))), lambda f: F.concat_ws("\u0000", f["filePath"], f["contentHash"]))
+    return files.groupBy(*by).agg(F.sha2(F.array_join(line, "\n"), 256).alias("digest"))

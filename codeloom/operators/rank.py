@@ -52,10 +52,20 @@ def symbol_ranks(nodes: DataFrame, edges: DataFrame, files: DataFrame) -> DataFr
     return own.withColumn("part", part).join(files.toDF("filePath", "rank"), "filePath").select("id", (F.col("rank") * F.col("part")).alias("rank"))
 
 
-def within_budget(ranked: DataFrame, cost: str, budget: int, most: int = 10_000) -> DataFrame:
-    """The best-ranked rows whose costs fit a budget together; ``most`` bounds what is ordered in one task."""
-    top = ranked.orderBy(F.desc("rank"), "id").limit(most)
-    return top.withColumn("_sum", F.sum(cost).over(W.orderBy(F.desc("rank"), "id").rowsBetween(W.unboundedPreceding, 0))).where(F.col("_sum") <= budget).drop("_sum")
+def within_budget(ranked: DataFrame, cost: str, budget: int, first: int = 1_000) -> DataFrame:
+    """The best-ranked rows whose costs, none of them negative, fit a budget together.
+
+    The best ``first`` rows are looked at, and eight times as many again until they cost more than the budget, so
+    what is ordered in one task follows the answer's size and not the table's.
+    """
+    n, order = first, [F.desc("rank"), "id"]
+    while True:
+        top = ranked.orderBy(*order).limit(n)
+        rows, total = top.agg(F.count(F.lit(1)), F.sum(cost)).first()
+        if rows < n or total > budget:
+            break
+        n *= 8
+    return top.withColumn("_sum", F.sum(cost).over(W.orderBy(*order).rowsBetween(W.unboundedPreceding, 0))).where(F.col("_sum") <= budget).drop("_sum")
 
 
 def ladder(nodes: DataFrame, name: str) -> DataFrame:

@@ -21,25 +21,30 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def cosine(a: Column, b: Column) -> Column:
-    """Cosine similarity in doubles; null for a zero vector, an error for vectors of different length."""
+    """Cosine similarity in doubles; 0 for a zero vector, an error for vectors of different length."""
     norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
-    same = F.when(F.size(a) == F.size(b), F.when(norm > 0, dot(a, b) / norm))
+    same = F.when(F.size(a) == F.size(b), F.when(norm > 0, dot(a, b) / norm).when(norm == 0, 0.0))
     return F.when(F.size(a) != F.size(b), F.raise_error(F.lit("vectors of different length")).cast("double")).otherwise(same)
 
 
+def _points(vector: str) -> Column:
+    """Whether a vector has a direction: searches leave zero vectors out."""
+    return F.exists(vector, lambda x: x != 0).alias("points")
+
+
 def _literal(vector: list[float]) -> Column:
     return F.array(*[F.lit(float(x)) for x in vector])
 
 
 def nearest(vectors: DataFrame, query: list[float], k: int, id_column: str = "nodeId") -> DataFrame:
     """The k most similar vectors, best first, ties by id: a scan and a top-n, whatever the table's size."""
-    scored = vectors.select(F.col(id_column).alias("id"), cosine(F.col("embedding"), _literal(query)).alias("score")).where("score is not null")
+    scored = vectors.select(F.col(id_column).alias("id"), cosine(F.col("embedding"), _literal(query)).alias("score"), _points("embedding")).where("score is not null and points").drop("points")
     return scored.orderBy(F.desc("score"), "id").limit(k)
 
 
 def scored_nodes(nodes: DataFrame, vectors: DataFrame, query: list[float]) -> DataFrame:
     """Nodes with a vector and their score, for score pages; vectors without a node don't show."""
-    scored = vectors.select("nodeId", cosine(F.col("embedding"), _literal(query)).alias("score")).where("score is not null")
+    scored = vectors.select("nodeId", cosine(F.col("embedding"), _literal(query)).alias("score"), _points("embedding")).where("score is not null and points").drop("points")
     return nodes.join(scored, nodes["id"] == scored["nodeId"]).drop("nodeId")
 
 

@@ -278,12 +278,12 @@ def walk_path_rows(spark, sf):
 def _placeholders(spark, sf):
     """Customers import their nation by path (a few a path that isn't there), and use suppliers and parts by name."""
     cust = _t(spark, sf, "customer")
-    module = cust.where("c_custkey % 3 = 0").selectExpr("concat('M', c_custkey % 30) id", "'Module' kind", "concat('nation/', c_custkey % 30) name", "concat('nation/', c_custkey % 30) qualifiedName", "'x' filePath", "'resolved_module' nativeKind", "false exported", "false hasSyntaxErrors").distinct()
-    imports = cust.where("c_custkey % 3 = 0").selectExpr("concat('im|', c_custkey) id", "concat('C', c_custkey) fromId", "concat('M', c_custkey % 30) toId", "'IMPORTS' kind", "'tree-sitter' source", "false resolved")
+    module = cust.selectExpr("concat('M', c_custkey % 30) id", "'Module' kind", "concat('nation/', c_custkey % 30) name", "concat('nation/', c_custkey % 30) qualifiedName", "'x' filePath", "'resolved_module' nativeKind", "false exported", "false hasSyntaxErrors").distinct()
+    imports = cust.selectExpr("concat('im|', c_custkey) id", "concat('C', c_custkey) fromId", "concat('M', c_custkey % 30) toId", "'IMPORTS' kind", "'tree-sitter' source", "false resolved")
     return linking.model.conform(module, linking.model.NODES), linking.model.conform(imports, linking.model.EDGES)
 
 
-@query("WITH m AS (SELECT c_custkey AS k, 'nation/' || (c_custkey % 30) AS p FROM customer WHERE c_custkey % 3 = 0) SELECT 'im|' || k AS id, coalesce('N' || n_nationkey, 'M' || (k % 30)) AS toId, n_nationkey IS NOT NULL AS resolved FROM m LEFT JOIN nation ON 'nation/' || n_nationkey = p", graph=False)
+@query("WITH m AS (SELECT c_custkey AS k, 'nation/' || (c_custkey % 30) AS p FROM customer) SELECT 'im|' || k AS id, coalesce('N' || n_nationkey, 'M' || (k % 30)) AS toId, n_nationkey IS NOT NULL AS resolved FROM m LEFT JOIN nation ON 'nation/' || n_nationkey = p", graph=False)
 def import_link(spark, sf):
     modules, imports = _placeholders(spark, sf)
     files = star.nodes(spark, sf).where("kind = 'File'")
@@ -291,7 +291,7 @@ def import_link(spark, sf):
     return edges.select("id", "toId", "resolved")
 
 
-@query("WITH m AS (SELECT DISTINCT c_custkey % 30 AS k FROM customer WHERE c_custkey % 3 = 0) SELECT 'M' || k AS id FROM m WHERE k NOT IN (SELECT n_nationkey FROM nation)", graph=False)
+@query("WITH m AS (SELECT DISTINCT c_custkey % 30 AS k FROM customer) SELECT 'M' || k AS id FROM m WHERE k NOT IN (SELECT n_nationkey FROM nation)", graph=False)
 def import_link_placeholders_left(spark, sf):
     modules, imports = _placeholders(spark, sf)
     nodes, _ = linking.link_imports(star.nodes(spark, sf).where("kind = 'File'").unionByName(modules), imports)
@@ -305,7 +305,7 @@ def _symbols(spark, sf):
     base = ["'Module' kind", "false exported", "false hasSyntaxErrors"]
     star_export = brands.selectExpr("concat('X|', filePath) id", "'*' name", "concat(filePath, '#*') qualifiedName", "'barrel/b' filePath", "'reexport' nativeKind", *base)
     again = spark.createDataFrame([("X|top",)], "id string").selectExpr("id", "'*' name", "'barrel/b#*' qualifiedName", "'barrel/a' filePath", "'reexport' nativeKind", *base)
-    use = _t(spark, sf, "part").where("p_partkey % 5 = 0").selectExpr("p_partkey k", "p_name n", "case when p_partkey % 4 = 0 then 'barrel/a' else concat('brand/', p_brand) end f")
+    use = _t(spark, sf, "part").selectExpr("p_partkey k", "p_name n", "case when p_partkey % 4 = 0 then 'barrel/a' else concat('brand/', p_brand) end f")
     pend = use.selectExpr("concat('U', k) id", "n name", "concat(f, '#', n) qualifiedName", "concat('use/', k) filePath", "'pending_symbol' nativeKind", *base)
     calls = use.selectExpr("concat('u|', k) id", "concat('C', k) fromId", "concat('U', k) toId", "case when k % 2 = 0 then 'CALLS' else 'SUPERTYPE_OF' end kind", "'tree-sitter' source", "false resolved")
     c = linking.model.conform
@@ -315,7 +315,7 @@ def _symbols(spark, sf):
 
 @query("""WITH e AS (SELECT p_brand AS b, p_name AS n, count(*) AS k, min('P' || p_partkey) AS t FROM part WHERE p_size > 10 GROUP BY 1, 2),
 a AS (SELECT n, sum(k) AS k, min(t) AS t FROM e GROUP BY n),
-u AS (SELECT p_partkey AS k, p_name AS n, p_brand AS b FROM part WHERE p_partkey % 5 = 0),
+u AS (SELECT p_partkey AS k, p_name AS n, p_brand AS b FROM part),
 r AS (SELECT u.k, CASE WHEN u.k % 4 = 0 THEN CASE WHEN a.k = 1 THEN a.t END ELSE CASE WHEN e.k = 1 THEN e.t END END AS t FROM u LEFT JOIN e ON e.b = u.b AND e.n = u.n LEFT JOIN a ON a.n = u.n)
 SELECT 'u|' || k AS id, CASE WHEN k % 2 = 0 AND t IS NOT NULL THEN t ELSE 'U' || k END AS toId, k % 2 = 0 AND t IS NOT NULL AS resolved FROM r""", graph=False)
 def symbol_link_unique(spark, sf):
@@ -323,33 +323,33 @@ def symbol_link_unique(spark, sf):
     return linking.link_symbols(nodes, edges).select("id", "toId", "resolved")
 
 
-@query("""WITH b AS (SELECT DISTINCT p_brand, p_name FROM part WHERE p_partkey % 50 = 0)
+@query("""WITH b AS (SELECT DISTINCT p_brand, p_name FROM part)
 SELECT 'brand/' || p_brand AS file, p_name AS name FROM b UNION SELECT 'barrel/b', p_name FROM b UNION SELECT 'barrel/a', p_name FROM b""", graph=False)
 def reexport_closure(spark, sf):
     nodes, _ = _symbols(spark, sf)
-    some = _t(spark, sf, "part").where("p_partkey % 50 = 0").selectExpr("concat('brand/', p_brand) file", "p_name name")
+    some = _t(spark, sf, "part").selectExpr("concat('brand/', p_brand) file", "p_name name")
     return linking.republished(some, nodes)
 
 
-@query("""SELECT 'U' || p_partkey AS id FROM part WHERE p_partkey % 5 = 0 AND p_partkey % 4 <> 0 AND p_brand IN (SELECT p_brand FROM part WHERE p_partkey IN (1, 2))""", graph=False)
+@query("""SELECT 'U' || p_partkey AS id FROM part WHERE p_partkey % 4 <> 0 AND p_brand IN (SELECT p_brand FROM part WHERE p_partkey IN (1, 2))""", graph=False)
 def prefix_waiting(spark, sf):
     nodes, _ = _symbols(spark, sf)
     files = _t(spark, sf, "part").where("p_partkey in (1, 2)").selectExpr("concat('brand/', p_brand) file").distinct()
     return linking.waiting_under(nodes, files).select("id")
 
 
-@query("""SELECT 'U' || p_partkey AS id FROM part WHERE p_partkey % 5 = 0 AND ((p_partkey % 4 = 0 AND p_name IN (SELECT p_name FROM part WHERE p_partkey % 100 = 1 AND p_size > 10)) OR (p_partkey % 4 <> 0 AND (p_brand, p_name) IN (SELECT p_brand, p_name FROM part WHERE p_partkey % 100 = 1 AND p_size > 10)))""", graph=False)
+@query("""SELECT 'U' || p_partkey AS id FROM part WHERE ((p_partkey % 4 = 0 AND p_name IN (SELECT p_name FROM part WHERE p_partkey % 100 = 1 AND p_size > 10)) OR (p_partkey % 4 <> 0 AND (p_brand, p_name) IN (SELECT p_brand, p_name FROM part WHERE p_partkey % 100 = 1 AND p_size > 10)))""", graph=False)
 def symbol_diff_scope(spark, sf):
     nodes, edges = _symbols(spark, sf)
     changed = nodes.where("id like 'P%' and cast(substring(id, 2) as long) % 100 = 1")
     return linking.symbols_in_diff(nodes, changed, edges.limit(0))
 
 
-@query("""WITH s AS (SELECT l_orderkey, l_linenumber, l_suppkey FROM lineitem WHERE l_partkey % 20 = 0), a AS (SELECT l_orderkey AS k, count(DISTINCT l_suppkey) AS n, min(l_suppkey) AS t FROM s GROUP BY 1)
+@query("""WITH s AS (SELECT l_orderkey, l_linenumber, l_suppkey FROM lineitem), a AS (SELECT l_orderkey AS k, count(DISTINCT l_suppkey) AS n, min(l_suppkey) AS t FROM s GROUP BY 1)
 SELECT 'o|' || o_orderkey AS id, CASE WHEN n = 1 THEN 'S' || t ELSE 'unknown' END AS toId, CASE WHEN n = 1 THEN 'ts-compiler' ELSE 'tree-sitter' END AS source, coalesce(n = 1, false) AS resolved FROM orders LEFT JOIN a ON a.k = o_orderkey""", graph=False)
 def semantic_upgrade(spark, sf):
     edges = _t(spark, sf, "orders").selectExpr("concat('o|', o_orderkey) id", "concat('C', o_custkey) fromId", "'unknown' toId", "'REFERENCES' kind", "'tree-sitter' source", "false resolved")
-    answers = _t(spark, sf, "lineitem").where("l_partkey % 20 = 0").selectExpr("concat('o|', l_orderkey) id", "concat('S', l_suppkey) target")
+    answers = _t(spark, sf, "lineitem").selectExpr("concat('o|', l_orderkey) id", "concat('S', l_suppkey) target")
     return linking.upgrade_edges(edges, answers).select("id", "toId", "source", "resolved")
 
 
@@ -434,11 +434,11 @@ def declarations_group(spark, sf):
     return nodes.join(n, nodes["id"] == n["nodeId"], "left").select("id", "startLine", "endLine", "signature", "exported", F.coalesce("n", F.lit(0)).alias("declarations"))
 
 
-@query("SELECT sha256(string_agg('d/' || doc_id || '=' || n_chars, chr(10) ORDER BY 'd/' || doc_id || '=' || n_chars)) AS digest FROM documents WHERE doc_id < 100", graph=False)
+@query("SELECT doc_id // 100 AS build, sha256(string_agg('d/' || doc_id || '=' || n_chars, chr(10) ORDER BY 'd/' || doc_id || '=' || n_chars)) AS digest FROM documents GROUP BY 1", graph=False)
 def build_digest(spark, sf):
-    """A build's files are few; the sign between path and hash is put where SQL can write it."""
-    files = _t(spark, sf, "documents").where("doc_id < 100").selectExpr("concat('d/', doc_id, '=', n_chars) filePath", "cast(null as string) contentHash")
-    return changes.digest(files)
+    """Each hundred documents are a build; the sign between path and hash is put where SQL can write it."""
+    files = _t(spark, sf, "documents").selectExpr("doc_id div 100 build", "concat('d/', doc_id, '=', n_chars) filePath", "cast(null as string) contentHash")
+    return changes.digest(files, "build")
 
 
 @query("WITH u AS (SELECT toId AS id, count(*) AS uses FROM edges WHERE kind IN ('CALLS', 'REFERENCES') GROUP BY toId), n AS (SELECT id, filePath FROM nodes WHERE kind NOT IN ('File', 'Module')) SELECT n.id, round(2.0 * uses / sum(uses) OVER (PARTITION BY filePath), 8) AS rank FROM n JOIN u USING (id)")
@@ -448,7 +448,7 @@ def symbol_ranks(spark, sf):
     return rank.symbol_ranks(nodes, star.edges(spark, sf, ["CALLS", "REFERENCES"]), files).select("id", F.round("rank", 8).alias("rank"))
 
 
-@query("WITH r AS (SELECT p_partkey, p_size, sum(p_size) OVER (ORDER BY p_retailprice DESC, p_partkey) AS s FROM (SELECT * FROM part ORDER BY p_retailprice DESC, p_partkey LIMIT 10000)) SELECT p_partkey AS id, p_size AS cost FROM r WHERE s <= 1000", graph=False)
+@query("WITH r AS (SELECT p_partkey, p_size, sum(p_size) OVER (ORDER BY p_retailprice DESC, p_partkey) AS s FROM part) SELECT p_partkey AS id, p_size AS cost FROM r WHERE s <= 1000", graph=False)
 def budgeted_map(spark, sf):
     rows = _t(spark, sf, "part").selectExpr("p_partkey id", "p_size cost", "p_retailprice rank")
     return rank.within_budget(rows, "cost", 1000).select("id", "cost")

@@ -257,3 +257,16 @@ def test_empty_scopes_are_no_scopes(spark):
 def test_checks_at_ingest(spark):
     good, bad = model.valid_edges(graphs.edges(spark, [graphs.edge("a", "b"), graphs.edge("a", "b", "NOT_A_KIND")]))
     assert (good.count(), bad.count()) == (1, 1)
+
+
+def test_budget_looks_further_until_it_is_spent(spark):
+    ranked = spark.createDataFrame([(i, 1, 1000 - i // 2) for i in range(300)], "id long, cost long, rank long")
+    assert sorted(r["id"] for r in rank.within_budget(ranked, "cost", 50, first=4).collect()) == list(range(50))
+    assert rank.within_budget(ranked, "cost", 1000, first=4).count() == 300 and rank.within_budget(ranked.limit(0), "cost", 5).count() == 0
+
+
+def test_zero_vectors_are_like_nothing(spark):
+    rows = spark.createDataFrame([("a", [0.0, 0.0]), ("b", [1.0, 1.0])], "nodeId string, embedding array<float>")
+    scored = rows.select("nodeId", similarity.cosine(F.col("embedding"), F.array(F.lit(1.0), F.lit(1.0))).alias("s")).collect()
+    assert {(r["nodeId"], round(r["s"], 6)) for r in scored} == {("a", 0.0), ("b", 1.0)}
+    assert [r["id"] for r in similarity.nearest(rows, [1.0, 1.0], 2).collect()] == ["b"]
