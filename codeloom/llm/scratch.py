@@ -8,22 +8,14 @@ one machine) a temporary folder is made and set.
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-_left: list["Scratch"] = []
-
+from codeloom.storage import shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="codeloom-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+_left: list["Scratch"] = []
 
 
 @contextmanager
