@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codeloom.llm.scratch import Scratch
+
 #: (verdict, host, path): a rule fits its host and all subdomains, for paths that begin with its path.
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 #: Suffixes of two labels under which domains are registered; others are one label.
@@ -75,7 +77,8 @@ def host_reputation(pages: DataFrame, outcomes: DataFrame) -> DataFrame:
     told = outcomes.where("page_id is not null and bad is not null").groupBy("page_id").agg(F.max("bad").alias("bad"))
     hosts = pages.join(told, "page_id", "left").groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("k"))
     domain, suffix = _levels(F.col("host"))
-    hosts = hosts.select("host", domain.alias("domain"), suffix.alias("suffix"), "n", "k")
+    # the weights and the result all come from these counts, so pages are read once for them
+    hosts = Scratch(pages.sparkSession, "hosts").keep(hosts.select("host", domain.alias("domain"), suffix.alias("suffix"), "n", "k"))
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     total = suffixes.agg(F.sum("n"), F.sum("k")).first()
