@@ -120,11 +120,11 @@ def strip_jsonc(text: str) -> str:
     return re.sub(r'("(?:[^"\\]|\\.)*")|,(?=\s*[}\]])', lambda m: m[1] or "", kept, flags=re.S)
 
 
-def tsconfig_rules(path: str, read, depth: int = 8) -> list[Rule]:
-    """The ``paths`` rules of a tsconfig; of an ``extends`` chain the file nearest to it that has any. ``read`` gives a path's text or None."""
+def tsconfig_rules(path: str, read, seen: frozenset[str] = frozenset()) -> list[Rule]:
+    """The ``paths`` rules of a tsconfig; of an ``extends`` chain, however long, the file nearest to it that has any. ``read`` gives a path's text or None."""
     folder = path.rpartition("/")[0]
     text = read(path)
-    if text is None or depth == 0:
+    if text is None or path in seen:  # a chain may be a circle
         return []
     config = json.loads(strip_jsonc(text))
     options = config.get("compilerOptions") or {}
@@ -134,17 +134,17 @@ def tsconfig_rules(path: str, read, depth: int = 8) -> list[Rule]:
     chain = config.get("extends") or []
     for parent in reversed([chain] if isinstance(chain, str) else chain):
         target = "/".join(x for x in (folder, parent.removeprefix("./")) if x)
-        found = tsconfig_rules(target if target.endswith(".json") else f"{target}.json", read, depth - 1)
+        found = tsconfig_rules(target if target.endswith(".json") else f"{target}.json", read, seen | {path})
         if found:
             return [Rule(r.step, folder, r.prefix, r.suffix, r.targets) for r in found]
     return []
 
 
 def glob_pattern(glob: str) -> str:
-    """A workspace glob as a regular expression over folders: ``*`` is one segment, ``**`` any number up to six."""
+    """A workspace glob as a regular expression over folders: ``*`` is one segment, ``?`` one character, ``**`` any number of segments up to six."""
     out = ""
     for part in glob.strip("/").split("/"):
-        out += r"(?:[^/]+/){0,6}" if part == "**" else re.escape(part).replace(r"\*", "[^/]*") + "/"
+        out += r"(?:[^/]+/){0,6}" if part == "**" else re.escape(part).replace(r"\*", "[^/]*").replace(r"\?", "[^/]") + "/"
     return "^" + out.removesuffix("/") + "$"
 
 

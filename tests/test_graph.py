@@ -1,4 +1,5 @@
 import random
+import re
 
 import graphs
 import pytest
@@ -270,3 +271,10 @@ def test_zero_vectors_are_like_nothing(spark):
     scored = rows.select("nodeId", similarity.cosine(F.col("embedding"), F.array(F.lit(1.0), F.lit(1.0))).alias("s")).collect()
     assert {(r["nodeId"], round(r["s"], 6)) for r in scored} == {("a", 0.0), ("b", 1.0)}
     assert [r["id"] for r in similarity.nearest(rows, [1.0, 1.0], 2).collect()] == ["b"]
+
+
+def test_long_and_circular_extends_and_one_character_globs():
+    files = {f"c{i}.json": '{"extends": "./c%d.json"}' % (i + 1) for i in range(20)} | {"c20.json": '{"compilerOptions": {"paths": {"@/*": ["src/*"]}}}'}
+    assert len(resolve.tsconfig_rules("c0.json", files.get)) == 1
+    assert resolve.tsconfig_rules("a.json", {"a.json": '{"extends": "./b.json"}', "b.json": '{"extends": "./a.json"}'}.get) == []
+    assert re.match(resolve.glob_pattern("packages/lib?"), "packages/lib1") and not re.match(resolve.glob_pattern("packages/lib?"), "packages/lib")
