@@ -5,6 +5,10 @@ with one of them, its pivot: a bucket of n near copies costs n comparisons. From
 nodes of one bucket have its pivot in common, so a row per node and pivot holds all that is left to compare, however
 many keys two near copies share.
 
+Where sketches are known beforehand, pairs of a node and a pivot whose sketches rule out a link are never given
+their texts, and the others are compared in two steps: each node with one of its pivots first, and then the pairs
+that this hasn't joined. So a group of near copies costs about a comparison a member, however many pivots it has.
+
 A bucket of two has nothing left to compare then. In others there are the outsiders, members that the pivot doesn't link. An outsider x needs comparing with another
 member y only if the two aren't joined already, ``|d(x, pivot) - d(y, pivot)|`` is within the limit, as the triangle
 inequality asks of every link, and the two's sketches agree nearly as often as a link's must; the join itself tests
@@ -17,7 +21,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeloom.llm.scratch import Scratch
@@ -28,48 +32,89 @@ PAIRS_A_MEMBER = 2
 
 
 def near_links(
-    entries: DataFrame,
+    entries: DataFrame | list[DataFrame],
     texts_of: Callable[[DataFrame], DataFrame],
     compare: Callable[[DataFrame], DataFrame],
     limit: float,
     scratch: Scratch,
-    sketch: Callable[[DataFrame], DataFrame],
+    sketch: Callable[[DataFrame], DataFrame] | DataFrame,
     alike: Callable[[Column, Column], Column],
     fit: Callable[[Column, Column], Column] = lambda a, b: F.lit(True),
 ) -> DataFrame:
     """The links among nodes that share a key.
 
-    ``entries``: (key, node). ``texts_of`` takes (node) and returns (node, text). ``compare`` takes (a, b, ta, tb)
+    ``entries``: (key, node), or several such tables without a common key, dealt one after the other. ``texts_of`` takes (node) and returns (node, text). ``compare`` takes (a, b, ta, tb)
     and returns (a, b, link boolean, dist double, ...): the exact verdict on each pair. ``limit`` is the largest
-    distance of a link. ``sketch`` takes (node, text) and returns (node, sketch); ``alike`` takes two sketches and
+    distance of a link. ``sketch`` takes (node, text) and returns (node, sketch), or is the table of all nodes'
+    sketches; ``alike`` takes two sketches and
     says whether their texts may be a link; ``fit`` says it of two nodes, before their texts are fetched. Returns the
     rows of ``compare`` that are links.
     """
-    # read from a table, so that one exchange serves both sides of the join (plans with explode are never found equal);
-    # a node has a key a band, so no key has more than a band's share of rows
-    table = scratch.keep(entries.where("key is not null and node is not null"))
-    dealt = table.where("key is not null and node is not null").repartition("key")
-    buckets = dealt.groupBy("key").agg(F.min("node").alias("p"), F.max("node").alias("q"), (F.count(F.lit(1)) > 2).alias("more")).where("p < q").select("key", "p", "more")
-    star = dealt.join(buckets.hint("shuffle_hash"), "key").where("node != p").groupBy(F.col("p").alias("a"), F.col("node").alias("b")).agg(F.max("more").alias("more"))
-    star = scratch.keep(star)
-    scratch.drop(table)
-    texts = scratch.keep(texts_of(star.where(fit(F.col("a"), F.col("b")) | F.col("more")).select(F.explode(F.array("a", "b")).alias("node")).distinct()))
+    def around_pivots(dealt: DataFrame) -> DataFrame:
+        """(a, b, more) of a pivot, another member and whether there are more; one exchange of the keys.
+
+        A node has a key a band, so no key has more than a band's share of rows.
+        """
+        bucket = Window.partitionBy("key")
+        met = dealt.where("key is not null and node is not null").select("node", F.min("node").over(bucket).alias("a"), (F.count(F.lit(1)).over(bucket) > 2).alias("more"))
+        return met.where("node != a").groupBy("a", F.col("node").alias("b")).agg(F.max("more").alias("more"))
+
+    parts = [scratch.keep(around_pivots(dealt)) for dealt in (entries if isinstance(entries, list) else [entries])]
+    star = parts[0]
+    if len(parts) > 1:
+        star = scratch.keep(reduce(DataFrame.unionByName, parts).groupBy("a", "b").agg(F.max("more").alias("more")))
+        scratch.drop(*parts)
+    early = isinstance(sketch, DataFrame)
+    fitting = star.where(fit(F.col("a"), F.col("b")))
+    texts = None
+    if not early:
+        texts = scratch.keep(texts_of(star.where(fit(F.col("a"), F.col("b")) | F.col("more")).select(F.explode(F.array("a", "b")).alias("node")).distinct()))
 
     def verify(pairs: DataFrame) -> DataFrame:
-        with_b = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
-        return scratch.keep(compare(with_b.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb")))
+        own = texts
+        if early:
+            pairs = scratch.keep(pairs)
+            own = scratch.keep(texts_of(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()))
+        with_b = pairs.join(own.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
+        out = scratch.keep(compare(with_b.join(own.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb")))
+        if early:
+            scratch.drop(pairs, own)
+        return out
 
-    first = verify(star.where(fit(F.col("a"), F.col("b"))).select("a", "b"))
+    if early:
+        sa, sb = (sketch.select(F.col("node").alias(c), F.col("sketch").alias(f"s{c}")) for c in "ab")
+        may = scratch.keep(fitting.join(sb, "b").join(sa, "a").where(alike(F.col("sa"), F.col("sb"))).select("a", "b"))
+        one = verify(may.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
+        joined = components(one.where("link").select("a", "b"), scratch)
+        open_pairs = may.join(joined.toDF("a", "ca"), "a", "left").join(joined.toDF("b", "cb"), "b", "left")
+        open_pairs = open_pairs.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b").join(one.select("a", "b"), ["a", "b"], "left_anti")
+        first = one.unionByName(verify(open_pairs))
+        scratch.drop(may)
+    else:
+        first = verify(fitting.select("a", "b"))
     joined = components(first.where("link").select("a", "b"), scratch)
     told = first.groupBy("a", "b").agg(F.max("link").alias("near"), F.min("dist").alias("d"))
     known = star.where("more").join(told, ["a", "b"], "left").select(F.col("a").alias("p"), F.col("b").alias("node"), F.coalesce("near", F.lit(False)).alias("near"), "d")
-    held = scratch.keep(known.join(joined, "node", "left").select("p", "node", "near", "d", F.coalesce("component", "node").alias("c")))
+    known = known.join(joined, "node", "left").select("p", "node", "near", "d", F.coalesce("component", "node").alias("c"))
+    if early:  # some pairs weren't compared, as both are of one component
+        known = known.join(joined.toDF("p", "cp"), "p", "left").select("p", "node", (F.col("c") == F.coalesce("cp", "p")).alias("near"), "d", "c")
+    held = scratch.keep(known)
     scratch.drop(star)
     left = held.groupBy("p").agg(F.min("near").alias("all"), F.min("c").alias("c0"), F.max("c").alias("c1")).where(~F.col("all") & (F.col("c0") != F.col("c1"))).select("p")
     before, held = held, scratch.keep(held.join(left, "p", "left_semi"))
-    sketches = sketch(texts.join(held.select("node").distinct(), "node", "left_semi"))
+    sketches = sketch if early else sketch(texts.join(held.select("node").distinct(), "node", "left_semi"))
     wide, held = held, scratch.keep(held.join(sketches, "node").select("p", "node", "near", "d", "c", "sketch"))
     scratch.drop(before, wide)
+
+    def merge(held: DataFrame, found: DataFrame) -> DataFrame:
+        """``held`` with the components that new links join."""
+        label = held.select("node", "c").distinct()
+        merged = found.where("link").select("a", "b").join(label.toDF("a", "ca"), "a").join(label.toDF("b", "cb"), "b").select("ca", "cb")
+        merged = components(merged, scratch).toDF("c", "to")
+        out = scratch.keep(held.join(merged, "c", "left").withColumn("c", F.coalesce("to", "c")).drop("to"))
+        scratch.drop(held)
+        return out
+
     links, done, turn = [first], first.select("a", "b"), 0
     while True:
         parts = held.groupBy("p", "c").agg(F.count(F.lit(1)).alias("n")).groupBy("p").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"))
@@ -84,18 +129,23 @@ def near_links(
         found = verify(near.join(done, ["a", "b"], "left_anti"))
         links.append(found)
         done, turn = done.unionByName(found.select("a", "b")), turn + 1
-        label = held.select("node", "c").distinct()
-        merged = found.where("link").select("a", "b").join(label.toDF("a", "ca"), "a").join(label.toDF("b", "cb"), "b").select("ca", "cb")
-        merged = components(merged, scratch).toDF("c", "to")
-        before, held = held, scratch.keep(held.join(merged, "c", "left").withColumn("c", F.coalesce("to", "c")).drop("to"))
-        scratch.drop(before)
+        held = merge(held, found)
         if found.where("link").count() < members / 50:
             break  # further pivots join few: what is left is unlike, and the sketches tell that
-    x = held.where(~F.col("near")).select("p", F.col("node").alias("x"), F.col("d").alias("dx"), F.col("c").alias("cx"), F.col("sketch").alias("sx"))
-    y = held.select(F.col("p").alias("own"), F.col("node").alias("y"), F.col("near").alias("ny"), F.col("d").alias("dy"), F.col("c").alias("cy"), F.col("sketch").alias("sy"))
-    new = (F.col("cx") != F.col("cy")) & (F.col("ny") | (F.col("x") < F.col("y")))
-    within = F.coalesce(F.abs(F.col("dx") - F.col("dy")) <= limit + 1e-9, F.lit(True))
-    rest = x.join(y, (F.col("p") == F.col("own")) & new & within & fit(F.col("x"), F.col("y")) & alike(F.col("sx"), F.col("sy"))).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    links.append(verify(rest.join(done, ["a", "b"], "left_anti")))
-    scratch.drop(held, texts)
+
+    def outsiders(held: DataFrame) -> DataFrame:
+        """(a, b) of an outsider and another member of its group, repeated for each group they share."""
+        x = held.where(~F.col("near")).select("p", F.col("node").alias("x"), F.col("d").alias("dx"), F.col("c").alias("cx"), F.col("sketch").alias("sx"))
+        y = held.select(F.col("p").alias("own"), F.col("node").alias("y"), F.col("near").alias("ny"), F.col("d").alias("dy"), F.col("c").alias("cy"), F.col("sketch").alias("sy"))
+        new = (F.col("cx") != F.col("cy")) & (F.col("ny") | (F.col("x") < F.col("y")))
+        within = F.coalesce(F.abs(F.col("dx") - F.col("dy")) <= limit + 1e-9, F.lit(True))
+        return x.join(y, (F.col("p") == F.col("own")) & new & within & fit(F.col("x"), F.col("y")) & alike(F.col("sx"), F.col("sy"))).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+    if early:  # one partner each first, added up where the pairs are made; then what this hasn't joined
+        one = outsiders(held).groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+        found = verify(one.join(done, ["a", "b"], "left_anti"))
+        links.append(found)
+        done, held = done.unionByName(found.select("a", "b")), merge(held, found)
+    links.append(verify(outsiders(held).distinct().join(done, ["a", "b"], "left_anti")))
+    scratch.drop(held, *([] if early else [texts]))
     return reduce(DataFrame.unionByName, [found.where("link") for found in links])
