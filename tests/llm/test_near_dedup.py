@@ -1,3 +1,5 @@
+import random
+
 import brute
 import numpy as np
 import pyarrow as pa
@@ -6,7 +8,7 @@ from hypothesis import given
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from codeloom.llm import near_dedup, textnum
+from codeloom.llm import near_dedup, textnum, union_find
 from codeloom.llm.scratch import Scratch
 from codeloom.llm.union_find import components
 
@@ -70,6 +72,20 @@ def test_components(spark):
     assert components(edges.limit(0), Scratch(spark, "t")).count() == 0
 
 
+def test_components_end_when_flat(spark, monkeypatch):
+    rng = random.Random(11)
+    pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)]
+    want = brute.closure({i for p in pairs for i in p}, pairs)
+    alone = {i for i in want if all(a == b for a, b in pairs if i in (a, b))}
+    for few in (0, union_find.FEW):  # rounds with and without a shuffle
+        monkeypatch.setattr(union_find, "FEW", few)
+        got = components(spark.createDataFrame(pairs, "a long, b long"), Scratch(spark, "t")).collect()
+        assert sorted((r["node"], r["component"]) for r in got) == sorted((i, c) for i, c in want.items() if i not in alone)
+        star = Scratch(spark, "t")
+        assert components(spark.range(1, 40).selectExpr("id a", "0L b"), star).count() == 40
+        assert star._count == 1  # one aggregation sees that nothing is left to do
+
+
 def test_query(spark):
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()]
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.op7_near_dedup(spark, DATA).collect()}
