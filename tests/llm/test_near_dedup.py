@@ -3,12 +3,14 @@ import random
 import brute
 import numpy as np
 import pyarrow as pa
+import pytest
 from conftest import DATA
 from hypothesis import given
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from codeloom.llm import near_dedup, textnum, union_find
+from codeloom.llm.near_links import near_links
 from codeloom.llm.scratch import Scratch
 from codeloom.llm.union_find import components
 
@@ -90,3 +92,30 @@ def test_query(spark):
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()]
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.op7_near_dedup(spark, DATA).collect()}
     assert got == brute.near(rows)
+
+
+@pytest.mark.parametrize("early", [True, False])
+def test_two_large_components_need_few_pairs(spark, early):
+    noise, n = 300, 70
+    place = {i: 100.0 + 10 * i for i in range(noise)} | {noise + i: i / n for i in range(n)} | {noise + n + i: 0.7 + i / n for i in range(n)}
+    one, two = range(noise, noise + n), range(noise + n, noise + 2 * n)
+    entries = spark.createDataFrame([(1, i) for i in one] + [(2, i) for i in two] + [(3, i) for i in place], "key long, node long")
+    texts = spark.createDataFrame([(i, str(x)) for i, x in place.items()], "node long, text string")
+    far = lambda a, b: F.abs(a.cast("double") - b.cast("double"))
+    made = []
+
+    class Counted(Scratch):
+        def keep(self, df, files=None):
+            out = super().keep(df, files)
+            if df.columns[:2] == ["a", "b"] and "more" not in df.columns:
+                made.append(out.where(F.col("a") >= noise).count())
+            return out
+
+    compare = lambda pairs: pairs.select("a", "b", (far(F.col("ta"), F.col("tb")) <= 1).alias("link"), far(F.col("ta"), F.col("tb")).alias("dist"))
+    sketch = lambda rows: rows.select("node", F.col("text").alias("sketch"))
+    scratch = Counted(spark, "near-links")
+    links = near_links(entries, lambda nodes: texts.join(nodes, "node", "left_semi"), compare, 1.0, scratch, sketch, lambda a, b: far(a, b) <= 1.01, early=early)
+    found = {(r["node"], r["component"]) for r in components(links.select("a", "b"), scratch).collect()}
+    scratch.close()
+    assert found == {(i, noise) for i in [*one, *two]}
+    assert max(made) < 1000
