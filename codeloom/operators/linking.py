@@ -72,16 +72,18 @@ def _hop(at: DataFrame, forwards: DataFrame) -> DataFrame:
 
 
 def resolve_addresses(addresses: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(o_file, o_name, target, target_kind, hops): what each (file, name) names.
+    """(o_file, o_name, target_kind, target, last, hops): the least and the greatest of what each (file, name) names, by kind.
 
+    These are equal if it names one symbol, and a row stays a row however many symbols share an address.
     An address is looked up before its re-exports are followed, and stops at the least depth where anything exported
     answers. Distinct addresses walk together, each hop is cut, and an address never returns to where it was.
     """
-    forwards, symbols = cut(reexports(nodes)), exported_symbols(nodes)
+    ends = [F.min("target").alias("target"), F.max("last").alias("last")]
+    forwards, symbols = cut(reexports(nodes)), cut(exported_symbols(nodes).withColumn("last", F.col("target")).groupBy("file", "name", "target_kind").agg(*ends))
     at = cut(addresses.select(F.col("file").alias("o_file"), F.col("name").alias("o_name"), "file", "name").distinct())
     seen, found = at, None
     for hops in range(MAX_HOPS + 1):
-        hit = cut(at.join(symbols, ["file", "name"]).select("o_file", "o_name", "target", "target_kind", F.lit(hops).alias("hops")).distinct())
+        hit = cut(at.join(symbols, ["file", "name"]).groupBy("o_file", "o_name", "target_kind").agg(*ends).withColumn("hops", F.lit(hops)))
         found = hit if found is None else found.unionByName(hit)
         still = at.join(hit.select("o_file", "o_name"), ["o_file", "o_name"], "left_anti")
         at = cut(_hop(still, forwards).join(seen, ["o_file", "o_name", "file", "name"], "left_anti"))
@@ -104,10 +106,10 @@ def link_symbols(nodes: DataFrame, edges: DataFrame, only: DataFrame | None = No
     if only is not None:
         waiting = waiting.join(only.select("id").distinct(), "id", "left_semi")
     found = resolve_addresses(waiting, nodes)
-    named = waiting.join(found, (waiting["file"] == found["o_file"]) & (waiting["name"] == found["o_name"])).select("id", "target", "target_kind")
+    named = waiting.join(found, (waiting["file"] == found["o_file"]) & (waiting["name"] == found["o_name"])).select("id", "target", "last", "target_kind")
     kinds = edges.select(F.col("toId").alias("id"), F.col("kind").alias("edge_kind")).join(waiting.select("id"), "id", "left_semi").distinct()
     one = kinds.join(named, "id").where(_fits(F.col("edge_kind"), F.col("target_kind")))
-    one = one.groupBy("id", "edge_kind").agg(F.count_distinct("target").alias("n"), F.min("target").alias("target")).where("n = 1")
+    one = one.groupBy("id", "edge_kind").agg(F.min("target").alias("target"), F.max("last").alias("last")).where("target = last")
     one = one.select(F.col("id").alias("_p"), F.col("edge_kind").alias("_k"), F.col("target").alias("_t"))
     met = edges.join(one, (F.col("toId") == F.col("_p")) & (F.col("kind") == F.col("_k")), "left")
     return met.withColumn("toId", F.coalesce("_t", "toId")).withColumn("resolved", F.col("resolved") | F.col("_t").isNotNull()).drop("_p", "_k", "_t")

@@ -169,6 +169,17 @@ def test_symbols_through_barrels(spark):
     assert linked == {"e1": "f", "e2": "f", "e3": "p3", "e4": "p4", "e5": "p5", "e6": "p6", "s5": "T"}
 
 
+def test_symbols_that_share_an_address_are_not_multiplied(spark):
+    k = 40
+    rows = [graphs.node(f"f{i}", file="x.ts", name="f") for i in range(k)] + [graphs.node("t", "Type", "x.ts", name="f"), graphs.node("r", "Module", "top.ts", name="*", qualified="x.ts#*", native="reexport", exported=False)]
+    rows += [graphs.node(f"p{i}", "Module", "use.ts", name="f", qualified=("x.ts#f", "top.ts#f")[i % 2], native="pending_symbol", exported=False) for i in range(k)]
+    n, e = graphs.nodes(spark, rows), graphs.edges(spark, [graphs.edge("u", f"p{i}", kind, f"{kind}{i}", False) for i in range(k) for kind in ("CALLS", "SUPERTYPE_OF", "REFERENCES")])
+    found = linking.resolve_addresses(linking.pending(n), n)
+    assert sorted((r["o_file"], r["target_kind"], r["hops"]) for r in found.collect()) == [("top.ts", "Function", 1), ("top.ts", "Type", 1), ("x.ts", "Function", 0), ("x.ts", "Type", 0)]
+    linked = {r["id"]: (r["toId"], r["resolved"]) for r in linking.link_symbols(n, e).collect()}
+    assert linked == {f"{kind}{i}": ("t", True) if kind == "SUPERTYPE_OF" else (f"p{i}", False) for i in range(k) for kind in ("CALLS", "SUPERTYPE_OF", "REFERENCES")}
+
+
 def test_diff_link_equals_full_link(spark):
     n = barrels(spark)
     e = graphs.edges(spark, [graphs.edge("u", f"p{i}", "REFERENCES", f"e{i}", False) for i in range(1, 7)])
