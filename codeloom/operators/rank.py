@@ -26,8 +26,10 @@ def file_links(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def pagerank(links: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING, cut_every: int = 5) -> DataFrame:
     """(id, rank) over weighted links (src, dst, weight). Nodes without links out give their rank to all alike.
 
-    Ranks sum to 1. Each round is one join and one aggregation over links that stay partitioned by src.
+    Ranks sum to 1. Each round is one join and one aggregation over links that stay partitioned by src. The links are
+    cut first, as what they are made from is read and shuffled again at each use.
     """
+    links = cut(links.select("src", "dst", "weight"))
     total = links.groupBy("src").agg(F.sum("weight").alias("total"))
     shares = cut(links.join(total, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("share")))
     ids = cut(links.select(F.col("src").alias("id")).unionByName(links.select(F.col("dst").alias("id"))).distinct().join(total.select(F.col("src").alias("id"), F.lit(False).alias("dangling")), "id", "left").withColumn("dangling", F.coalesce("dangling", F.lit(True))))

@@ -577,7 +577,7 @@ s AS (SELECT src, dst, w / sum(w) OVER (PARTITION BY src) AS p FROM u), i AS (SE
 d AS (SELECT id FROM i WHERE id NOT IN (SELECT src FROM u)), r0 AS (SELECT id, 1.0::DOUBLE / n AS r FROM i, c),
 """ + ",\n".join(f"r{k} AS (SELECT i.id, 0.15 / c.n + 0.85 * (coalesce(g.x, 0) + (SELECT coalesce(sum(r), 0) FROM r{k - 1} WHERE id IN (SELECT id FROM d)) / c.n) AS r FROM i CROSS JOIN c LEFT JOIN (SELECT dst AS id, sum(p * r) AS x FROM s JOIN r{k - 1} ON r{k - 1}.id = s.src GROUP BY dst) g ON g.id = i.id)" for k in range(1, 7)) + " SELECT id, round(r, 8) AS rank FROM r6")
 def pagerank_files(spark, sf):
-    links = rank.file_links(star.nodes(spark, sf), star.edges(spark, sf, ["CALLS", "REFERENCES", "IMPORTS"]))
+    links = rank.file_links(star.nodes(spark, sf), star.edges(spark, sf, ["CALLS", "REFERENCES", "IMPORTS"], resolved=True))
     return rank.pagerank(links, rounds=6).select("id", F.round("rank", 8).alias("rank"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom import model
@@ -36,9 +36,10 @@ _KEYS = {
 }
 
 
-def edges(spark: SparkSession, sf_dir: str, kinds: list[str] | None = None, at: tuple[str, str] | None = None) -> DataFrame:
+def edges(spark: SparkSession, sf_dir: str, kinds: list[str] | None = None, at: tuple[str, str] | None = None, resolved: bool = False) -> DataFrame:
     """The edges of some kinds; tables of other kinds are not read.
 
+    ``resolved`` asks for resolved edges only: a pair is resolved if any of its rows is, so other rows are left out before pairs are formed.
     ``at`` (fromId or toId, an id) asks for one node's edges: the id is also put as a condition on the key that it is
     made of, which the scan takes, unlike one on the id.
     """
@@ -54,12 +55,18 @@ def edges(spark: SparkSession, sf_dir: str, kinds: list[str] | None = None, at:
     now: list[str] = [""]
     source = "'tree-sitter' source", "cast(null as int) toDeclaration"
 
+    def some(df: DataFrame, shown: Column) -> DataFrame:
+        return df.where(shown) if resolved else df
+
     def calls() -> DataFrame:
-        pairs = t("lineitem").groupBy("l_suppkey", "l_partkey").agg(F.max(F.col("l_returnflag") != "N").alias("resolved"))
+        shown = F.col("l_returnflag") != "N"
+        pairs = some(t("lineitem"), shown).groupBy("l_suppkey", "l_partkey").agg(F.max(shown).alias("resolved"))
         return pairs.selectExpr("concat('c|', l_suppkey, '|', l_partkey) id", "concat('S', l_suppkey) fromId", "concat('P', l_partkey) toId", "'CALLS' kind", "resolved", *source)
 
     def references() -> DataFrame:
-        pairs = t("orders").join(t("lineitem").select("l_orderkey", "l_partkey"), F.col("o_orderkey") == F.col("l_orderkey")).groupBy("o_custkey", "l_partkey").agg(F.max(F.col("o_orderstatus") == "F").alias("resolved"))
+        shown = F.col("o_orderstatus") == "F"
+        uses = some(t("orders"), shown).join(t("lineitem").select("l_orderkey", "l_partkey"), F.col("o_orderkey") == F.col("l_orderkey"))
+        pairs = uses.groupBy("o_custkey", "l_partkey").agg(F.max(shown).alias("resolved"))
         return pairs.selectExpr("concat('r|', o_custkey, '|', l_partkey) id", "concat('C', o_custkey) fromId", "concat('P', l_partkey) toId", "'REFERENCES' kind", "resolved", *source)
 
     made = {
@@ -75,7 +82,7 @@ def edges(spark: SparkSession, sf_dir: str, kinds: list[str] | None = None, at:
     out = None
     for kind in kinds or model.EDGE_KINDS:
         now[0] = kind
-        part = model.conform(made[kind](), model.EDGES)
+        part = some(model.conform(made[kind](), model.EDGES), F.col("resolved"))
         out = part if out is None else out.unionByName(part)
     return out
 

@@ -255,6 +255,30 @@ def test_pagerank_sums_to_one(spark):
     assert rank.pagerank(links.limit(0)).count() == 0
 
 
+def test_pagerank_makes_its_links_once(spark):
+    made = spark.sparkContext.accumulator(0)
+    weight = F.udf(lambda w: made.add(1) or w, "double").asNondeterministic()
+    links = spark.createDataFrame([("a", "b", 1.0), ("b", "c", 1.0), ("c", "a", 1.0), ("a", "d", 2.0)], "src string, dst string, weight double")
+    got = {r["id"]: r["rank"] for r in rank.pagerank(links.withColumn("weight", weight("weight")), rounds=6).collect()}
+    assert made.value == 4
+    assert got == pytest.approx({r["id"]: r["rank"] for r in rank.pagerank(links, rounds=6).collect()})
+
+
+def test_resolved_edges_are_those_of_all_that_are_resolved(spark, tmp_path):
+    from codeloom.plans import star
+
+    tables = {
+        "orders": ([(1, 7, "F"), (2, 7, "O"), (3, 8, None)], "o_orderkey long, o_custkey long, o_orderstatus string"),
+        "lineitem": ([(1, 5, 9, "N"), (2, 5, 9, "R"), (2, 6, 9, "N"), (3, 5, 4, None), (1, 6, 4, "A"), (3, 6, 4, "N")], "l_orderkey long, l_partkey long, l_suppkey long, l_returnflag string"),
+    }
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    for kind in ("CALLS", "REFERENCES"):
+        some = star.edges(spark, str(tmp_path), [kind], resolved=True)
+        assert sorted(some.collect()) == sorted(star.edges(spark, str(tmp_path), [kind]).where("resolved").collect())
+        assert some.count() == 2
+
+
 def test_ladder(spark):
     n = graphs.nodes(spark, [graphs.node("a", name="x"), graphs.node("x", name="q"), graphs.node("s", file="src/stem.ts")])
     assert [(r["id"], r["rung"]) for r in rank.ladder(n, "x").collect()] == [("x", 0)]
