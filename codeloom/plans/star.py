@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,15 +60,19 @@ def edges(spark: SparkSession, sf_dir: str, kinds: list[str] | None = None, at:
     def some(df: DataFrame, shown: Column) -> DataFrame:
         return df.where(shown) if resolved else df
 
+    @cache
+    def lines() -> int | None:
+        return None if at else t("lineitem").count()  # of the files' footers
+
     def calls() -> DataFrame:
         shown = F.col("l_returnflag") != "N"
-        pairs = some(t("lineitem"), shown).groupBy("l_suppkey", "l_partkey").agg(F.max(shown).alias("resolved"))
+        pairs = _pairs(some(t("lineitem"), shown), "l_suppkey", "l_partkey", shown, lines())
         return pairs.selectExpr("concat('c|', l_suppkey, '|', l_partkey) id", "concat('S', l_suppkey) fromId", "concat('P', l_partkey) toId", "'CALLS' kind", "resolved", *source)
 
     def references() -> DataFrame:
         shown = F.col("o_orderstatus") == "F"
         uses = some(t("orders"), shown).join(t("lineitem").select("l_orderkey", "l_partkey"), F.col("o_orderkey") == F.col("l_orderkey"))
-        pairs = uses.groupBy("o_custkey", "l_partkey").agg(F.max(shown).alias("resolved"))
+        pairs = _pairs(uses, "o_custkey", "l_partkey", shown, lines())
         return pairs.selectExpr("concat('r|', o_custkey, '|', l_partkey) id", "concat('C', o_custkey) fromId", "concat('P', l_partkey) toId", "'REFERENCES' kind", "resolved", *source)
 
     made = {
@@ -87,6 +93,25 @@ def edges(spark: SparkSession, sf_dir: str, kinds: list[str] | None = None, at:
     return out
 
 
+#: About so many rows of a table are made into pairs by one task, whatever the table's size.
+TASK_ROWS = 500_000
+#: One end's rows are dealt to so many tasks at most, so that a hot end isn't left to one, and its pairs still lie close.
+_SHARES = 16
+
+
+def _pairs(rows: DataFrame, own: str, far: str, shown: Column, total: int | None) -> DataFrame:
+    """(own, far, resolved) for each pair of keys, resolved if ``shown`` holds for any of its rows.
+
+    ``total`` is about how many rows there are. What a task holds is then bounded by their number in it; Spark's own
+    parts grow with the files' and are grouped before and after the shuffle. Without it they are left to Spark.
+    """
+    if total is None:
+        return rows.groupBy(own, far).agg(F.max(shown).alias("resolved"))
+    tasks = max(rows.sparkSession.sparkContext.defaultParallelism, -(-total // TASK_ROWS))
+    dealt = rows.select(own, far, shown.alias("resolved"), F.pmod(F.hash(far), F.lit(_SHARES)).alias("_share")).repartition(tasks, own, "_share")
+    return dealt.groupBy(own, far, "_share").agg(F.max("resolved").alias("resolved")).drop("_share")
+
+
 #: The same views for DuckDB, as common table expressions.
 SQL = """
 nodes AS (

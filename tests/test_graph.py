@@ -279,6 +279,21 @@ def test_resolved_edges_are_those_of_all_that_are_resolved(spark, tmp_path):
         assert some.count() == 2
 
 
+def test_tasks_hold_so_many_pairs_whatever_the_tables_size(spark, tmp_path, monkeypatch):
+    from codeloom.plans import star
+
+    lines = spark.range(4000).selectExpr("id % 1000 l_orderkey", "cast(id * 7 % 90 as long) l_partkey", "cast(id % 11 % 4 as long) l_suppkey", "case when id % 3 = 0 then 'R' else 'N' end l_returnflag")
+    lines.write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.range(1000).selectExpr("id o_orderkey", "id % 5 o_custkey", "case when id % 2 = 0 then 'F' else 'O' end o_orderstatus").write.parquet(f"{tmp_path}/orders.parquet")
+    monkeypatch.setattr(star, "TASK_ROWS", 100, raising=False)
+    for kind, rows in (("CALLS", lines.selectExpr("concat('c|', l_suppkey, '|', l_partkey) id", "l_returnflag = 'R' ok")), ("REFERENCES", lines.selectExpr("concat('r|', l_orderkey % 5, '|', l_partkey) id", "l_orderkey % 2 = 0 ok"))):
+        edges = star.edges(spark, str(tmp_path), [kind])
+        want = {r["id"]: r["ok"] for r in rows.groupBy("id").agg(F.max("ok").alias("ok")).collect()}
+        assert {r["id"]: r["resolved"] for r in edges.collect()} == want and edges.count() == len(want)
+        held = edges.groupBy(F.spark_partition_id()).count().collect()
+        assert len(held) > 20 and max(r["count"] for r in held) < len(want) / 6
+
+
 def test_ladder(spark):
     n = graphs.nodes(spark, [graphs.node("a", name="x"), graphs.node("x", name="q"), graphs.node("s", file="src/stem.ts")])
     assert [(r["id"], r["rung"]) for r in rank.ladder(n, "x").collect()] == [("x", 0)]
